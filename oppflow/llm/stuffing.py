@@ -4,8 +4,8 @@ Neighbouring words of writing belong together; those of a keyword page don't,
 whatever its words are. For each pair of neighbours the corpus gives a
 normalised pointwise mutual information from the counts of the pair and of its
 two words, taken without the document's own occurrences. A document whose
-distinct pairs have a low mean is word salad; one with a somewhat higher mean is
-flagged if it repeats its pairs excessively.
+distinct pairs have a low mean is word salad; the bar is higher for a document
+that repeats its pairs excessively.
 
 Counts are over all distinct texts, so that copies of one spam page don't
 vouch for each other. Words are 64-bit hashes. The pairs of each text are
@@ -26,10 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
-#: Mean information below which a text is word salad.
-SALAD = 0.40
-#: Mean information below which a text is flagged if at least this share of its pairs are repeats.
-LOOSE, REPEATS = 0.46, 0.30
+#: Mean information below which a text is word salad; it rises by SLOPE times the share of repeated pairs beyond USUAL.
+SALAD, SLOPE, USUAL = 0.42, 0.30, 0.25
 #: Texts of fewer pairs are never flagged.
 LEAST_PAIRS = 12
 #: Added to the count of a pair, so that pairs found nowhere else have a value.
@@ -93,7 +91,7 @@ def coherence(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", salad: float = SALAD, loose: float = LOOSE, repeats: float = REPEATS) -> DataFrame:
+def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", salad: float = SALAD, slope: float = SLOPE, usual: float = USUAL) -> DataFrame:
     """key, mean_npmi, repeat_share, stuffed: one row for each row of docs.
 
     Defined cases: null, empty and blank texts and those of fewer than
@@ -104,7 +102,7 @@ def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     scores = coherence(docs, text)
     ids = docs.select(F.col(key).alias("_key"), F.sha2(F.col(text), 256).alias("_text"))
     few = F.coalesce(F.col("n_pairs"), F.lit(0)) < LEAST_PAIRS
-    is_spam = (F.col("mean_npmi") < salad) | ((F.col("mean_npmi") < loose) & (F.col("repeat_share") >= repeats))
+    is_spam = F.col("mean_npmi") < salad + slope * F.greatest(F.col("repeat_share") - usual, F.lit(0.0))
     return ids.join(scores, "_text", "left").select(
         F.col("_key").alias(key), "mean_npmi", "repeat_share", (F.coalesce(is_spam, F.lit(False)) & ~few).alias("stuffed")
     )

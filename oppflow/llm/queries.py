@@ -3,7 +3,16 @@
 from __future__ import annotations
 
 from ..sources.tables import read_table
-from . import bpe, mixture, stuffing
+from . import bpe, mixture, names, reference, stuffing
+
+
+def p2_found(spark, sf_dir):
+    return names.linked_pairs(read_table(spark, sf_dir, "structured_opportunities"))
+
+
+def p3_found(spark, sf_dir):
+    rows, places, provinces = (read_table(spark, sf_dir, t) for t in ("structured_opportunities", "place_list", "province_list"))
+    return reference.located(rows, places, provinces)
 
 
 def p6_ids(spark, sf_dir):
@@ -22,5 +31,7 @@ def p8_found(spark, sf_dir):
     return stuffing.stuffed_documents(read_table(spark, sf_dir, "documents")).where("stuffed").select("doc_id")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {
+    "p2_found": p2_found, "p3_found": p3_found,
+    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 SQL: dict[str, str] = {}

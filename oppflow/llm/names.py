@@ -159,7 +159,8 @@ def _typed_links(forms: DataFrame) -> DataFrame:
 def _short_links(forms: DataFrame) -> DataFrame:
     """Each form with short words and the full form that it fits best."""
     words = F.split("form", " ")
-    longest = F.array_sort(words, lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))[0]
+    size = lambda w: F.length(F.regexp_replace(w, r"[.'].*", ""))
+    longest = F.array_sort(words, lambda x, y: F.when(size(x) != size(y), size(y) - size(x)).when(x < y, -1).when(x > y, 1).otherwise(0))[0]
 
     @F.pandas_udf("boolean")
     def has_short(s: pd.Series) -> pd.Series:

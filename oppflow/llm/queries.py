@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import read_table
-from . import bpe, mixture, names, reference, stuffing
+from . import boilerplate, bpe, mixture, names, reference, stuffing
+
+
+def p1_lines(spark, sf_dir):
+    tables = {t: read_table(spark, sf_dir, t) for t in ("raw_opportunities", "raw_opportunity_versions")}
+    model = boilerplate.training_sample(tables["raw_opportunities"], read_table(spark, sf_dir, "structured_opportunities"))
+    return boilerplate.main_content(tables, model)
+
+
+def p1_found(spark, sf_dir):
+    return p1_lines(spark, sf_dir).select("record_table", "record_id", F.explode("lines").alias("line_no"))
 
 
 def p2_found(spark, sf_dir):
@@ -32,6 +44,7 @@ def p8_found(spark, sf_dir):
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found, "p3_found": p3_found,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 SQL: dict[str, str] = {}

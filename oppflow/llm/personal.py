@@ -32,7 +32,7 @@ TRAIN_TEXTS = 900
 #: Items of one wording (capitals and digits apart) that the field is fitted to, at most.
 ALIKE = 6
 #: A token whose own score for every kind is this much below that for none can't begin or continue an item.
-HOPELESS = 6.0
+HOPELESS = 2.5
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
 
@@ -54,7 +54,7 @@ _TOKEN = re.compile(
     r"|(?P<tag><(?![^>]*(?:mailto:|@|tel:))[^<>]*>)"
     r"|(?P<entity>&#?\w+;)"
     r"|(?P<code>\b(?=[A-Z0-9]*\d)[A-Z]{2}[A-Z0-9]{6}\d\b)"
-    rf"|(?P<number>{_NUMBER})(?P<suffix>(?:[a-zA-Z]|[ -]?(?:bis|[IVX]{{1,4}}|[A-Z]))\b(?![\w@.]))?"
+    rf"|(?P<number>{_NUMBER})(?P<suffix>(?:[a-zA-Z]|[ -]?(?:bis|[IVX]{{1,4}}|[A-Z]))\b(?![\w@]|\.\w))?"
     r"|(?P<initial>(?:[^\W\d_]\.[ ]?)+(?=[ ]?[^\W\d_]|[,<\s)]|$))"
     r"|(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+|&[a-zA-Z]+;[^\W\d_]*|&#\d+;[^\W\d_]+)*)"
     r"|(?P<line>\n)|(?P<sign>[^\s\w])|(?P<rest>\w+)"
@@ -134,16 +134,16 @@ def type_features(t: str, first_names: set[str]) -> list[str]:
     if not t[0].isalpha():
         return ["t=" + t, "sign"]
     shape = "XX" if t.isupper() and len(t) > 1 else "Xx" if t[0].isupper() else "xx"
-    out = ["w=" + low, "s=" + shape, "e3=" + low[-3:], "e2=" + low[-2:], "n=" + str(min(len(t), 8)), shape + "e3=" + low[-3:]]
     if low in PARTICLES:
-        out.append("particle")
+        return ["particle", "particle" + shape] + (["w=" + low] if low in ("op", "in", "te", "het") else [])
+    out = ["w=" + low, "s=" + shape, "e3=" + low[-3:], "e2=" + low[-2:], "n=" + str(min(len(t), 8)), shape + "e3=" + low[-3:]]
     if low in TITLES:
         out.append("title")
     if low in first_names and shape != "xx":
         out.append("first")
     if STREET.search(low) and shape != "xx" and len(low) > 5:
         out.append("street")
-    if low in STREET_FIRST:
+    if low in STREET_FIRST or low in STREET_TITLES and shape == "Xx":
         out.append("street1")
     if low in ORGANISATION:
         out.append("org")
@@ -216,7 +216,9 @@ class Finder:
     types: dict[str, int] = data_field(default_factory=dict)
     scores: list[np.ndarray] = data_field(default_factory=list)
     hopeful: list[bool] = data_field(default_factory=list)
-    clear: dict[str, bool] = data_field(default_factory=dict)
+    known: dict[str, tuple | None] = data_field(default_factory=dict)
+    _hope: np.ndarray = data_field(default_factory=lambda: np.zeros(0, dtype=bool))
+    _alike: np.ndarray = data_field(default_factory=lambda: np.zeros(0, dtype=np.int64))
 
     def type_id(self, t: str) -> int:
         i = self.types.get(t)
@@ -227,80 +229,87 @@ class Finder:
             self.hopeful.append(bool(scores[0, 1:].max() > scores[0, 0] - HOPELESS))
         return i
 
-    def may(self, block: str) -> bool:
-        got = self.clear.get(block)
-        if got is None:
-            if len(self.clear) > 100_000:
-                self.clear.clear()
-            got = self.clear[block] = _MAY.search(block) is not None
+    def block(self, text: str) -> tuple[list[Token], np.ndarray] | None:
+        """Tokens (from the start of the block) and their types, remembered for short blocks that recur; None if there can be no item."""
+        got = self.known.get(text, 0)
+        if got == 0:
+            got = None
+            if _MAY.search(text):
+                toks = tokens(text)
+                types = np.array([self.type_id(t[0]) for t in toks], dtype=np.int32)
+                if len(toks) and self.hope()[types].any():
+                    got = toks, types
+            if len(text) <= 400:
+                if len(self.known) > 60_000:
+                    self.known.clear()
+                self.known[text] = got
         return got
 
+    def hope(self) -> np.ndarray:
+        if len(self._hope) != len(self.hopeful):
+            self._hope = np.array(self.hopeful)
+        return self._hope
+
     def find(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """Of each text its items: kind, start, end (code points)."""
         if len(self.types) > 300_000:
-            self.types, self.scores, self.hopeful = {}, [], []
-        toks: list[Token] = []
+            self.types, self.scores, self.hopeful, self.known = {}, [], [], {}
+        parts: list[tuple[list[Token], np.ndarray]] = []
         owner: list[int] = []  # of each chain
-        lengths: list[int] = []
+        base: list[int] = []
         for k, text in enumerate(texts):
             if not text:
                 continue
             for m in _BLOCK.finditer(text):
-                block = m[0]
-                if self.may(block):
-                    got = tokens(block, m.start())
-                    if got:
-                        toks += got
-                        owner.append(k)
-                        lengths.append(len(got))
+                got = self.block(m[0])
+                if got is not None:
+                    parts.append(got)
+                    owner.append(k)
+                    base.append(m.start())
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        if not toks:
+        if not parts:
             return out
-        type_id = self.type_id
-        types = np.array([type_id(t[0]) for t in toks], dtype=np.int32)
+        lengths = np.array([len(p[1]) for p in parts])
+        first = np.cumsum(lengths) - lengths
+        types = np.concatenate([p[1] for p in parts])
         chain = np.repeat(np.arange(len(lengths)), lengths)
         # what is far from every token that could be part of an item is left out of its chain
-        hope = np.array(self.hopeful)[types]
+        hope = self.hope()[types]
         near = hope.copy()
         for d in range(1, 4):
             near[d:] |= hope[:-d] & (chain[d:] == chain[:-d])
             near[:-d] |= hope[d:] & (chain[d:] == chain[:-d])
         kept = np.flatnonzero(near)
-        if not len(kept):
-            return out
         new = np.ones(len(kept), dtype=bool)
         new[1:] = (np.diff(kept) > 1) | (chain[kept[1:]] != chain[kept[:-1]])
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(kept)))
         scores = np.stack(self.scores)
         u = skipchain.flat_unary(scores, types[kept], sizes)
-        labels = skipchain.decode(self.model, u, sizes, self._edges(toks, kept, chain, owner, hope))
-        for a, n in zip(starts.tolist(), sizes.tolist()):
-            row = labels[a : a + n]
-            if row.any():
-                first = int(kept[a])
-                out[owner[chain[first]]] += spans(toks, first, row.tolist(), int(chain[first]), chain)
+        labels = skipchain.decode(self.model, u, sizes, self._edges(types, kept, np.array(owner)[chain[kept]]))
+        marked = np.add.reduceat(labels != 0, starts) > 0
+        for a, n in zip(starts[marked].tolist(), sizes[marked].tolist()):
+            c = int(chain[kept[a]])
+            from_ = int(kept[a] - first[c])
+            out[owner[c]] += [(k, base[c] + x, base[c] + y) for k, x, y in spans(parts[c][0], from_, labels[a : a + n].tolist())]
         return [sorted(set(items), key=lambda x: (x[1], x[0])) for items in out]
 
-    def _edges(self, toks: list[Token], kept: np.ndarray, chain: np.ndarray, owner: list[int], hope: np.ndarray) -> np.ndarray:
-        """Skip edges: each capitalised word of four letters or more and the next one of its document that reads alike."""
-        edges, last, text = [], {}, -1
-        for i, k in enumerate(kept.tolist()):
-            if not hope[k]:
-                continue
-            word = toks[k][0]
-            if len(word) < 4 or not word[0].isupper():
-                continue
-            if owner[chain[k]] != text:
-                text, last = owner[chain[k]], {}
-            key = _fold(word)
-            if key in last:
-                edges.append((last[key], i))
-            last[key] = i
-        return np.array(edges, dtype=np.int64).reshape(-1, 2)
-
-
-def spans(toks: list[Token], first: int, labels: list[int], own: int = 0, chain: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+    def _edges(self, types: np.ndarray, kept: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Skip edges: each hopeful word of four letters or more with a capital and the next one of its document that reads alike."""
+        if len(self._alike) != len(self.hopeful):
+            keys: dict[str, int] = {}
+            self._alike = np.array(
+                [keys.setdefault(_fold(t), len(keys)) if h and len(t) >= 4 and t[0].isupper() else -1 for t, h in zip(self.types, self.hopeful)], dtype=np.int64
+            )
+        alike = self._alike[types[kept]]
+        at = np.flatnonzero(alike >= 0)
+        order = at[np.lexsort((at, alike[at], text[at]))]
+        a, b = order[:-1], order[1:]
+        same = (alike[a] == alike[b]) & (text[a] == text[b])
+        return np.stack([a[same], b[same]], axis=1)
+
+
+def spans(toks: list[Token], first: int, labels: list[int]) -> list[tuple[str, int, int]]:
     """Labelled stretches of the tokens from first on, each checked for the form that its kind must have."""
     out, i = [], 0
     while i < len(labels):
@@ -315,7 +324,12 @@ def spans(toks: list[Token], first: int, labels: list[int], own: int = 0, chain:
         a, b = first + i, first + j
         while b - a > 1 and toks[b - 1][0] in ("\n", ",", ".", ":", ";", "|"):
             b -= 1
-        around = [_fold(toks[k][0]) for k in (*range(max(0, a - 2), a), *range(b, min(len(toks), b + 1))) if chain is None or chain[k] == own]
+        if kind == "person_name":  # no name begins with a particle in small letters or a number
+            if toks[a][0] == "#code":
+                out.append(("id_number", toks[a][1], toks[a][2]))
+            while a < b - 1 and (toks[a][0] in PARTICLES or toks[a][0] == "#code"):
+                a += 1
+        around = [_fold(toks[k][0]) for k in (*range(max(0, a - 2), a), *range(b, min(len(toks), b + 2)))]
         if _well_formed(kind, [t[0] for t in toks[a:b]], around):
             out.append((kind, toks[a][1], toks[b - 1][2]))
         i = j
@@ -378,7 +392,9 @@ def fit_finder(texts: list[str], contact_names: list[str]) -> Finder:
     # all chains with items and as many without
     with_items = [i for i, g in enumerate(gold) if any(g)]
     without = [i for i, g in enumerate(gold) if not any(g)]
-    keep = with_items + without[: max(600, len(with_items))]
+    most = 2000
+    with_items = with_items[:: max(1, len(with_items) // 3000)]
+    keep = with_items + without[:: max(1, len(without) // most)]
     model = skipchain.fit([chains[i] for i in keep], [gold[i] for i in keep], [type_features(t, names) for t in types], LABELS)
     return Finder(model, names)
 

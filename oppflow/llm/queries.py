@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import boilerplate, bpe, mixture, names, reference, stuffing
+from . import boilerplate, bpe, mixture, names, personal, reference, stuffing
 
 
 def p1_lines(spark, sf_dir):
@@ -27,6 +27,30 @@ def p3_found(spark, sf_dir):
     return reference.located(rows, places, provinces)
 
 
+def personal_items(spark, sf_dir):
+    snippets, pages, records = (read_table(spark, sf_dir, t) for t in ("evidence_snippets", "raw_opportunities", "structured_opportunities"))
+    finder = personal.training_finder(snippets, pages, records)
+    contact = lambda k: records.select(F.col("id").alias("record_id"), F.col(f"contact_information.{k}").alias("text"))
+    return personal.found_items(
+        [
+            ("evidence_snippets.text", snippets.select(F.col("snippet_id").alias("record_id"), "text")),
+            ("raw_opportunities.raw_content", pages.select(F.col("id").alias("record_id"), F.col("raw_content").alias("text"))),
+            ("structured_opportunities.contact_information.email", contact("email")),
+            ("structured_opportunities.contact_information.phone", contact("phone")),
+        ],
+        finder,
+    )
+
+
+def p4_found(spark, sf_dir):
+    items = personal_items(spark, sf_dir).select("field_name", "record_id", F.explode("items").alias("i"))
+    return items.select("field_name", "record_id", F.col("i.kind").alias("pii_type"), F.col("i.start").alias("start_pos"))
+
+
+def p4_masked(spark, sf_dir):
+    return personal.masked(personal_items(spark, sf_dir))
+
+
 def p6_ids(spark, sf_dir):
     return bpe.encode_corpus(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +69,6 @@ def p8_found(spark, sf_dir):
 
 QUERIES = {
     "p1_found": p1_found,
-    "p2_found": p2_found, "p3_found": p3_found,
+    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_masked": p4_masked,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import snapshots
+from . import corpus, ingestion, listing, snapshots
 
-_PARTS = [snapshots]
+_PARTS = [listing, ingestion, corpus, snapshots]
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}

@@ -142,7 +142,7 @@ def prepared_text(root: Node) -> str:
                 stack.append("\n")
             stack += reversed(item.children)
     lines: list[str] = []
-    for line in "".join(out).replace(" ", " ").splitlines():
+    for line in "".join(out).replace("\u00a0", " ").splitlines():
         line = re.sub(r"[ \t]+", " ", line).strip()
         if line and (not lines or lines[-1] != line):
             lines.append(line)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 WHITE = r"(?U)[\s\x1c-\x1f]"
 #: Line ends as a text reader counts them.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def collapse(c: Column) -> Column:
@@ -35,7 +35,7 @@ def content_hash(c: Column) -> Column:
 
 def clean_lines(c: Column) -> Column:
     """Lines with blanks collapsed, without empty ones and without a line equal to the one before it."""
-    lines = F.transform(F.split(F.regexp_replace(c, " ", " "), LINE_END), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
+    lines = F.transform(F.split(F.regexp_replace(c, "\u00a0", " "), LINE_END), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
     seen = F.filter(lines, lambda x: x != "")
     return F.array_join(F.filter(seen, lambda x, i: (i == 0) | (x != F.get(seen, i - 1))), "\n")
 
@@ -166,7 +166,7 @@ def document_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import re
 
     def one(x: str) -> str:
-        x = unicodedata.normalize("NFKC", x).replace(" ", " ").replace("\r\n", "\n").replace("\r", "\n")
+        x = unicodedata.normalize("NFKC", x).replace("\u00a0", " ").replace("\r\n", "\n").replace("\r", "\n")
         lines = [re.sub(r"[ \t]+", " ", line).strip() for line in x.split("\n")]
         return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 

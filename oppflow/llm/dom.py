@@ -22,6 +22,7 @@ BLOCK = {
     "ol", "p", "pre", "section", "table", "ul", "li", "tr", "td", "th", "dt", "dd",
 }
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
+UNSEEN_SIGNS = " \u00a0\u200b\ufeff\u00ad"
 TAGS = ["", "html", "body", "main", "article", "section", "div", "aside", "nav", "header", "footer", "form", "ul", "ol", "li", "table", "tr", "td", "th", "dl", "dt", "dd", "p", "h1", "h2", "h3", "h4", "a", "b", "strong", "i", "em", "span", "font", "button", "label", "blockquote", "pre", "text", "paragraph"]
 TAG_CODE = {t: i for i, t in enumerate(TAGS)}
 
@@ -137,7 +138,7 @@ class Pages:
             for k, part in enumerate(parts):
                 if "&" in part:
                     part = html.unescape(part)
-                seen = part.strip("  ​\t\r\f\v")
+                seen = part.strip().strip(UNSEEN_SIGNS)
                 if seen:
                     self._leaf(line + k, seen, element, linked)
             line += len(parts) - 1

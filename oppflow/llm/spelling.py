@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 _BROKEN = re.compile("[ÂÃâ][\u0080-¿€-™ŒœŠšŸŽžƒ]")
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
 def mend(text: str) -> str:

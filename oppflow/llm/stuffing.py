@@ -35,7 +35,7 @@ SMOOTH = 0.02
 
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _PAIRS = "_text string, a long, b long, n int, own_a int, own_b int"
 _SCHEMA = pa.schema([("_text", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("own_a", pa.int32()), ("own_b", pa.int32())])
 

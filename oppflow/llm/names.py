@@ -6,7 +6,7 @@ desks and departments). Links between such forms come from
 * typing errors: a segment join of the whole names (``segments``) verified by a
   banded edit distance word by word;
 * other orders of the words: the sorted words are the form;
-* short forms: the words of a name with short words are matched with those of a
+* short forms: the words of a name with short words or a particle are matched with those of a
   full name that shares its longest word up to one edit (again a segment join);
   a short word stands for one whose letters it keeps in order, and one word may
   be a nickname if the rest decides;
@@ -40,6 +40,8 @@ SMALL = {"van", "der", "den", "en", "aan", "op", "ter", "ten", "te", "voor", "in
 
 #: Typing errors in a name that are searched for; a swap of neighbours is two of them.
 K = 2
+#: Share of a nickname's letters that the name has in the same order.
+NICK = 0.7
 
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ]{3})(?=[A-ZÀ-Þ][a-zà-ÿ]{2})|(?<=[a-zà-ÿ]{3})(?=(?:Oost|West|Noord|Zuid)-)")
 _DEFINED = re.compile(r"^\s*(?:(?P<long>.{6,}?)\s*\((?P<in>[A-Z]{2,8})\)|(?P<before>[A-Z]{2,8})\s*-\s*(?P<rest>.{6,}))\s*$")
@@ -101,6 +103,16 @@ def _joined(x: list[str], y: list[str]) -> bool:
     return len(long) <= 3 and any("".join(p) == "".join(short) for p in permutations(long))
 
 
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest sequence of letters that both have in this order."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b, 1):
+            row[j] = last[j - 1] + 1 if x == y else max(last[j], row[j - 1])
+    return row[-1]
+
+
 def short_form_score(short: list[str], full: list[str]) -> float:
     """How well the words of short stand for all the words of full: 0 if they don't."""
     left, score, odd = list(full), 0.0, []
@@ -129,7 +141,7 @@ def short_form_score(short: list[str], full: list[str]) -> float:
         return 0.0
     if names:  # a nickname for the one word that is left, if they share letters enough
         w, f = names[0], left[0]
-        if len(w) < 3 or is_short(f) or not any(w[i : i + 3] in f for i in range(len(w) - 2)):
+        if len(w) < 3 or is_short(f) or common_letters(w, f) < NICK * len(w):
             return 0.0
         score += 0.2
     return score
@@ -164,7 +176,7 @@ def _short_links(forms: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def has_short(s: pd.Series) -> pd.Series:
-        return pd.Series([any(is_short(w) and w not in ("oost", "west", "zuid", "kust", "huur") for w in x.split()) and " " in x for x in s])
+        return pd.Series([" " in x and any(is_short(w) or w in SMALL for w in x.split()) for x in s])
 
     @F.pandas_udf("double")
     def fit(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -4,8 +4,8 @@ Neighbouring words of writing belong together; those of a keyword page don't,
 whatever its words are. For each pair of neighbours the corpus gives a
 normalised pointwise mutual information from the counts of the pair and of its
 two words, taken without the document's own occurrences. A document whose
-distinct pairs have a low mean is word salad; the bar is higher for a document
-that repeats its pairs excessively.
+distinct pairs have a low mean is word salad; so is one with a higher mean that
+repeats its collocations excessively and in all combinations.
 
 Counts are over all distinct texts, so that copies of one spam page don't
 vouch for each other. Words are 64-bit hashes. The pairs of each text are
@@ -26,8 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
-#: Mean information below which a text is word salad; it rises by SLOPE times the share of repeated pairs beyond USUAL.
-SALAD, SLOPE, USUAL = 0.42, 0.30, 0.25
+#: Mean information below which a text is word salad; below DOUBT it needs a word to have FEW different followers on
+#: average, and below CLEAR it needs nothing else.
+CLEAR, DOUBT, FEW = 0.36, 0.42, 1.4
+#: A text is stuffed as well if its mean is below LOOSE, at least REPEATS of its pairs are repeats, and a word has at
+#: least MANY different followers: collocations repeated in every combination, as sentences, even repeated ones, are not.
+LOOSE, REPEATS, MANY = 0.64, 0.25, 1.8
 #: Texts of fewer pairs are never flagged.
 LEAST_PAIRS = 12
 #: Added to the count of a pair, so that pairs found nowhere else have a value.
@@ -36,8 +40,8 @@ SMOOTH = 0.02
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_PAIRS = "_text string, a long, b long, n int, own_a int, own_b int"
-_SCHEMA = pa.schema([("_text", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("own_a", pa.int32()), ("own_b", pa.int32())])
+_PAIRS = "_text string, a long, b long, n int, own_a int, own_b int, words int"
+_SCHEMA = pa.schema([("_text", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("own_a", pa.int32()), ("own_b", pa.int32()), ("words", pa.int32())])
 
 
 def words(text: str) -> list[str]:
@@ -57,23 +61,23 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return h
 
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[] for _ in _SCHEMA]
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             codes = [code(w) for w in words(text)]
             pairs = Counter(zip(codes, codes[1:]))
             left, right = Counter(codes[:-1]), Counter(codes[1:])
             for (a, b), n in pairs.items():
-                for column, value in zip(out, (key, a, b, n, left[a], right[b])):
+                for column, value in zip(out, (key, a, b, n, left[a], right[b], len(left))):
                     column.append(value)
             if len(out[0]) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA)], schema=_SCHEMA)
-                out = [[], [], [], [], [], []]
+                out = [[] for _ in _SCHEMA]
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA)], schema=_SCHEMA)
 
 
 def coherence(docs: DataFrame, text: str = "text") -> DataFrame:
-    """_text (digest), mean_npmi, repeat_share, n_pairs of each distinct text that has a pair of words."""
+    """_text (digest), mean_npmi, repeat_share, n_pairs, branches of each distinct text that has a pair of words."""
     texts = docs.select(F.sha2(F.col(text), 256).alias("_text"), F.col(text).alias("_t")).where("_t is not null and _t <> ''").dropDuplicates(["_text"])
     pairs = cut(texts.mapInArrow(_count_pairs, _PAIRS))
     known = pairs.groupBy("a", "b").agg(F.sum("n").cast("double").alias("ab"))
@@ -85,14 +89,14 @@ def coherence(docs: DataFrame, text: str = "text") -> DataFrame:
     pmi = F.log(seen * total / ((F.col("of_a") - F.col("own_a") + 1) * (F.col("of_b") - F.col("own_b") + 1)))
     return (
         pairs.join(counts, ["a", "b"])
-        .select("_text", "n", (pmi / F.log(F.lit(total + 1.0) / seen)).alias("npmi"))
+        .select("_text", "n", "words", (pmi / F.log(F.lit(total + 1.0) / seen)).alias("npmi"))
         .groupBy("_text")
-        .agg(F.avg("npmi").alias("mean_npmi"), (1 - F.count("*") / F.sum("n")).alias("repeat_share"), F.sum("n").alias("n_pairs"))
+        .agg(F.avg("npmi").alias("mean_npmi"), (1 - F.count("*") / F.sum("n")).alias("repeat_share"), F.sum("n").alias("n_pairs"), (F.count("*") / F.max("words")).alias("branches"))
     )
 
 
-def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", salad: float = SALAD, slope: float = SLOPE, usual: float = USUAL) -> DataFrame:
-    """key, mean_npmi, repeat_share, stuffed: one row for each row of docs.
+def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", clear: float = CLEAR, doubt: float = DOUBT, loose: float = LOOSE, repeats: float = REPEATS) -> DataFrame:
+    """key, mean_npmi, repeat_share, branches, stuffed: one row for each row of docs.
 
     Defined cases: null, empty and blank texts and those of fewer than
     LEAST_PAIRS pairs aren't stuffed (scores null where there is no pair);
@@ -102,7 +106,9 @@ def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     scores = coherence(docs, text)
     ids = docs.select(F.col(key).alias("_key"), F.sha2(F.col(text), 256).alias("_text"))
     few = F.coalesce(F.col("n_pairs"), F.lit(0)) < LEAST_PAIRS
-    is_spam = F.col("mean_npmi") < salad + slope * F.greatest(F.col("repeat_share") - usual, F.lit(0.0))
+    mean, branches = F.col("mean_npmi"), F.col("branches")
+    salad = (mean < clear) | (mean < doubt) & (branches >= FEW)
+    is_spam = salad | (mean < loose) & (F.col("repeat_share") >= repeats) & (branches >= MANY)
     return ids.join(scores, "_text", "left").select(
-        F.col("_key").alias(key), "mean_npmi", "repeat_share", (F.coalesce(is_spam, F.lit(False)) & ~few).alias("stuffed")
+        F.col("_key").alias(key), "mean_npmi", "repeat_share", "branches", (F.coalesce(is_spam, F.lit(False)) & ~few).alias("stuffed")
     )

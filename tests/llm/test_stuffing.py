@@ -5,10 +5,14 @@ from oppflow.llm import stuffing
 
 def test_salad_and_writing(spark):
     r = random.Random(4)
-    subjects, verbs, objects = ["de gemeente", "het bureau", "de afdeling", "een adviseur"], ["schrijft een plan voor", "werkt samen met", "overlegt over"], ["het archief", "de wijk", "het register", "de brug"]
-    sentence = lambda: f"{r.choice(subjects)} {r.choice(verbs)} {r.choice(objects)} in {r.choice(['mei', 'juni', 'juli'])}."
+    syllables = ["ba", "do", "ki", "lo", "mer", "nu", "pas", "rie", "sta", "ver", "wo", "zen"]
+    word = lambda: "".join(r.choices(syllables, k=3))
+    vocabulary = [word() for _ in range(400)]
+    sentences = [" ".join(["de", *r.choices(vocabulary, k=4), "van het", *r.choices(vocabulary, k=3)]) + "." for _ in range(120)]
+    sentence = lambda: r.choice(sentences)
     writing = [" ".join(sentence() for _ in range(12)) for _ in range(300)]
     towns, words = [f"stad{chr(97 + i)}{chr(97 + j)}oord" for i in range(12) for j in range(12)], [f"woord{chr(97 + i)}x" for i in range(30)]
+    writing[5:8] = [" ".join(f"{k}. {sentences[0]} {sentence()}" for k in range(1, 7)) for _ in range(3)]  # repeats a sentence
     spam = [" ".join(f"{w} {t}" for w, t in zip(r.choices(r.sample(words, 3), k=40), r.choices(towns, k=40))) for _ in range(12)]
     rows = [(i, t, 1) for i, t in enumerate(writing + spam + [spam[0], "", None, "kort stukje", writing[0]])]
     df = spark.createDataFrame(rows, "doc_id long, text string, n int")

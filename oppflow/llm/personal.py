@@ -30,7 +30,7 @@ from .spelling import fold
 #: Texts of each table that the field is fitted to, at most.
 TRAIN_TEXTS = 900
 #: Items of one wording (capitals and digits apart) that the field is fitted to, at most.
-ALIKE = 6
+ALIKE = 12
 #: A token whose own score for every kind is this much below that for none can't begin or continue an item.
 HOPELESS = 2.5
 KINDS = ("email", "phone", "id_number", "address", "person_name")
@@ -51,7 +51,7 @@ _EMAIL = rf"[^\W_][\w.+%-]*{_AT}[^\W_][\w-]*(?:{_DOT}[\w-]+)+"
 _NUMBER = r"(?:\+|\(\+?)?\d(?:\d|\)?[ .\-]{1,3}(?=\d)|[ ]?\(0\)[ \-]?(?=\d)|\)(?=\d))*"
 _TOKEN = re.compile(
     rf"(?P<email>{_EMAIL})"
-    r"|(?P<tag><(?![^>]*(?:mailto:|@|tel:))[^<>]*>)"
+    r"|(?P<tag></?[a-zA-Z!](?![^>]*(?:mailto:|@|tel:|&#|&commat|[\[(]\s?(?:at|apenstaartje)\s?[\])]))[^<>]*>)"
     r"|(?P<entity>&#?\w+;)"
     r"|(?P<code>\b(?=[A-Z0-9]*\d)[A-Z]{2}[A-Z0-9]{6}\d\b)"
     rf"|(?P<number>{_NUMBER})(?P<suffix>(?:[a-zA-Z]|[ -]?(?:bis|[IVX]{{1,4}}|[A-Z]))\b(?![\w@]|\.\w))?"
@@ -195,7 +195,7 @@ def weak_spans(toks: list[Token], first_names: set[str]) -> list[int]:
             b = i + 3
             while b < len(toks) and low[b] in PARTICLES:
                 b += 1
-            if b < len(toks) and is_cap(b) and low[i + 2] in first_names and low[b] not in TITLES and b > i + 3:
+            if b < len(toks) and is_cap(b) and low[b] not in TITLES:  # what stands before the comma is no surname
                 b = 0
         if b:
             org = any(w in ORGANISATION for w in low[max(0, i - 2) : i])
@@ -329,6 +329,10 @@ def spans(toks: list[Token], first: int, labels: list[int]) -> list[tuple[str, i
                 out.append(("id_number", toks[a][1], toks[a][2]))
             while a < b - 1 and (toks[a][0] in PARTICLES or toks[a][0] == "#code"):
                 a += 1
+            comma = next((k for k in range(a, b) if toks[k][0] == ","), None)
+            if comma and sum(t[0] == "#init" or t[0][0].isupper() for t in toks[comma + 1 : b]) > 1:
+                a = comma + 1  # what stands before a whole name is no part of it
+            b = next((k for k in range(a + 1, b) if toks[k][0][0] in "#@" and toks[k][0] != "#init"), b)
         around = [_fold(toks[k][0]) for k in (*range(max(0, a - 2), a), *range(b, min(len(toks), b + 2)))]
         if _well_formed(kind, [t[0] for t in toks[a:b]], around):
             out.append((kind, toks[a][1], toks[b - 1][2]))
@@ -400,13 +404,15 @@ def fit_finder(texts: list[str], contact_names: list[str]) -> Finder:
 
 
 def training_finder(snippets: DataFrame, pages: DataFrame, records: DataFrame, most: int = TRAIN_TEXTS) -> Finder:
-    """Fit to the first ``most`` texts of each table in the order of a hash."""
+    """Fit to the first ``most`` texts of each table (a quarter as many pages) in the order of a hash."""
+
     def some(df: DataFrame, key: str, column: str, n: int) -> list[str]:
         ids = [r[0] for r in df.select(key).where(F.col(column).isNotNull()).distinct().orderBy(F.xxhash64(key)).limit(n).collect()]
         return [r[1] for r in sorted(df.where(F.col(key).isin(ids)).select(key, column).distinct().collect())] if ids else []
 
-    contacts = records.select("id", F.col("contact_information.name").alias("name"))
-    return fit_finder(some(snippets, "snippet_id", "text", most) + some(pages, "id", "raw_content", most // 4), some(contacts, "id", "name", 4 * most))
+    contacts = lambda k: some(records.select("id", F.col(f"contact_information.{k}").alias(k)), "id", k, 4 * most if k == "name" else most)
+    texts = some(snippets, "snippet_id", "text", most) + some(pages, "id", "raw_content", most // 4) + contacts("email") + contacts("phone")
+    return fit_finder(texts, contacts("name"))
 
 
 def found_items(fields: list[tuple[str, DataFrame]], finder: Finder) -> DataFrame:

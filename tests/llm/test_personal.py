@@ -58,6 +58,22 @@ def test_found_in_tables(spark, data, items):
     assert plain and all([(i.kind, i.start) for i in r["items"]] == [("phone", 0)] for r in plain)
 
 
+def test_contact_fields(items):
+    emails = items.where("field_name like '%contact_information.email'").collect()
+    plain = [r for r in emails if re.fullmatch(r"[\w.+-]+@[\w.-]+", r.text)]
+    assert plain and all([(i.kind, i.start) for i in r["items"]] == [("email", 0)] for r in plain)
+
+
+def test_spans_are_trimmed():
+    labels = personal.LABELS
+    toks = personal.tokens("GIS-specialist, C.A. Jansen 0191 - 386 872")
+    got = personal.spans(toks, 0, [labels.index("B-person_name")] + [labels.index("I-person_name")] * (len(toks) - 1))
+    assert got == [("person_name", 16, 27)]
+    toks = personal.tokens("XX65DKD13 van Jan Smit")
+    assert personal.spans(toks, 0, [labels.index("B-person_name")] + [labels.index("I-person_name")] * 3) == [("id_number", 0, 9), ("person_name", 14, 22)]
+    assert [t[0] for t in personal.tokens("Jan Smit <jan [at] post [dot] nl>")][2:4] == ["<", "@mail"]
+
+
 def test_masked_round_trip(items):
     masked = {(r.field_name, r.record_id): r.masked for r in personal.masked(items).collect()}
     for r in items.collect():

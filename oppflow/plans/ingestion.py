@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html, text
-from ..operators import constraints as cs, feed, runs, versions
+from ..operators import constraints as cs, feed, records, runs, versions
 from ..sources.documents import safe_file_name, storage_path
 from ..sources.tables import read_table
 
@@ -258,3 +258,36 @@ SQL = {
         select c.id as cv_id, cast(count(s.snippet_id) as integer) as n, coalesce(string_agg(s.snippet_id, ',' order by s.snippet_no nulls first, s.snippet_id), '') as ids from user_cvs c left join s on s.user_cv_id = c.id group by c.id""",
     "cvs_with_evidence": "select id, user_id from user_cvs c where exists (select 1 from evidence_snippets s where s.user_cv_id = c.id)",
 }
+
+
+def reservations(spark, sf_dir):
+    """Raw pages against the records extracted from them: the ledger's key is the page's hash."""
+    work = read_table(spark, sf_dir, "raw_opportunities").select("id", F.coalesce("normalized_content_hash", "content_hash").alias("input_hash"))
+    done = read_table(spark, sf_dir, "structured_opportunities").select(
+        F.col("extracted_from_hash").alias("input_hash"), F.when(F.col("review_required"), "review_required").otherwise("succeeded").alias("status"), F.col("id").alias("result_id")
+    )
+    return records.reserved(work, done, "input_hash").select("id", "reservation")
+
+
+def closed_missing(spark, sf_dir):
+    """Rows of export 7 that export 8 lacks, closed in sources whose count allows it."""
+    df = read_table(spark, sf_dir, "raw_opportunity_snapshots").withColumn("source_reference", F.upper(F.trim("source_reference"))).withColumn("source_status", F.lower(F.trim("source_status")))
+    order = [F.col("delivered_at").desc(), F.col("source_status").desc_nulls_last()]
+    part = lambda n: versions.latest(df.where(F.col("snapshot_no") == n), ["source_id", "source_reference"], order).select("source_id", "source_reference", "source_status")
+    old, new = part(7), part(8)
+    size = lambda d, c: d.groupBy("source_id").agg(F.count("*").alias(c))
+    counts = size(old, "previous").join(size(new, "found"), "source_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return records.closed_missing(old, new, counts, ["source_id", "source_reference"], "source_id", least=5, ratio="0.70")
+
+
+QUERIES |= {"reservations": reservations, "closed_missing": closed_missing}
+_PART = lambda n: f"""(select source_id, upper(trim(source_reference)) as source_reference, lower(trim(source_status)) as source_status from raw_opportunity_snapshots where snapshot_no = {n}
+    qualify row_number() over (partition by source_id, upper(trim(source_reference)) order by delivered_at desc, lower(trim(source_status)) desc nulls last) = 1)"""
+SQL |= {
+    "reservations": """with l as (select extracted_from_hash as h, bool_or(id is not null) as done from structured_opportunities where extracted_from_hash is not null group by 1)
+        select r.id, case when l.done then 'skip' when l.done is not null then 'reset' else 'new' end as reservation from raw_opportunities r left join l on l.h = coalesce(r.normalized_content_hash, r.content_hash)""",
+    "closed_missing": f"""with o as {_PART(7)}, n as {_PART(8)}, c as (select source_id, count(*) as previous, (select count(*) from n where n.source_id = o.source_id) as found from o group by source_id),
+        free as (select source_id from c where found >= greatest(5, ceil(previous * 0.70)))
+        select o.source_id, o.source_reference, case when o.source_status = 'active' and n.source_id is null and o.source_id in (select source_id from free) then 'closed' else o.source_status end as source_status
+        from o left join n on n.source_id = o.source_id and n.source_reference = o.source_reference""",
+}

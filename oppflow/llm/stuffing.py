@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
 
@@ -40,8 +40,8 @@ SMOOTH = 0.02
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_PAIRS = "_text string, a long, b long, n int, own_a int, own_b int, words int"
-_SCHEMA = pa.schema([("_text", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("own_a", pa.int32()), ("own_b", pa.int32()), ("words", pa.int32())])
+_PAIRS = "_text binary, a long, b long, n int, own_a int, own_b int, words int"
+_SCHEMA = pa.schema([("_text", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("own_a", pa.int32()), ("own_b", pa.int32()), ("words", pa.int32())])
 
 
 def words(text: str) -> list[str]:
@@ -76,9 +76,14 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA)], schema=_SCHEMA)
 
 
+def _digest(c: Column) -> Column:
+    """16 bytes, as the key of a text goes along with each of its pairs."""
+    return F.unhex(F.md5(c))
+
+
 def coherence(docs: DataFrame, text: str = "text") -> DataFrame:
     """_text (digest), mean_npmi, repeat_share, n_pairs, branches of each distinct text that has a pair of words."""
-    texts = docs.select(F.sha2(F.col(text), 256).alias("_text"), F.col(text).alias("_t")).where("_t is not null and _t <> ''").dropDuplicates(["_text"])
+    texts = docs.select(_digest(F.col(text)).alias("_text"), F.col(text).alias("_t")).where("_t is not null and _t <> ''").dropDuplicates(["_text"])
     pairs = cut(texts.mapInArrow(_count_pairs, _PAIRS))
     known = pairs.groupBy("a", "b").agg(F.sum("n").cast("double").alias("ab"))
     left = known.groupBy("a").agg(F.sum("ab").alias("of_a"))
@@ -104,7 +109,7 @@ def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     are read whole; an empty table gives an empty result.
     """
     scores = coherence(docs, text)
-    ids = docs.select(F.col(key).alias("_key"), F.sha2(F.col(text), 256).alias("_text"))
+    ids = docs.select(F.col(key).alias("_key"), _digest(F.col(text)).alias("_text"))
     few = F.coalesce(F.col("n_pairs"), F.lit(0)) < LEAST_PAIRS
     mean, branches = F.col("mean_npmi"), F.col("branches")
     salad = (mean < clear) | (mean < doubt) & (branches >= FEW)

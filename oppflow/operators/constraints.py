@@ -49,8 +49,8 @@ def repeated_keys(df: DataFrame, keys: Sequence[str], where: Column | None = Non
 
 
 def dangling(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
-    """Rows of child whose reference has no parent; a null reference is none."""
-    return child.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)).distinct(), column, "left_anti")
+    """Rows of child whose reference has no parent; a null reference is none. Parent keys are unique, so they aren't made distinct first."""
+    return child.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)), column, "left_anti")
 
 
 def cascaded(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:

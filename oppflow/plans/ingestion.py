@@ -11,9 +11,9 @@ from ..sources.tables import read_table
 
 
 def stored_versions(spark, sf_dir):
-    """raw_opportunity_versions, rows delivered twice once."""
+    """raw_opportunity_versions, rows delivered twice once; partitioned by page, which every later step keeps."""
     df = read_table(spark, sf_dir, "raw_opportunity_versions").select("id", "raw_opportunity_id", "fetch_run_id", "version_number", "content_hash", "normalized_content_hash", "created_at")
-    return df.dropDuplicates(["id"])
+    return df.repartition("raw_opportunity_id").dropDuplicates(["raw_opportunity_id", "id"])
 
 
 def _told(spark, sf_dir):

@@ -60,16 +60,25 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: i
         g, h = w * (y - p), w * p * (1 - p)
         at = np.zeros(n, dtype=np.int64)
         feature, border = np.zeros(inner, dtype=np.int32), np.full(inner, BINS, dtype=np.int32)
+        wide: list[np.ndarray] = []  # of each feature: sums of g and h by node and bin
         for d in range(depth):
             nodes, first = 2**d, 2**d - 1
             local = at - first
+            # sums are taken over left children only; those of right ones are what is left of their parents'
+            rows = np.flatnonzero(local % 2 == 0) if d else np.arange(n)
+            half, g_rows, h_rows = local[rows] // 2 if d else local, g[rows], h[rows]
+            size = max(1, nodes // 2) * BINS
             best = np.full(nodes, 1e-6)
-            gt, ht = np.bincount(local, g, nodes), np.bincount(local, h, nodes)
+            narrow = []
+            for k in range(width):
+                key = half * BINS + binned[k][rows]
+                sums = np.stack([np.bincount(key, g_rows, size), np.bincount(key, h_rows, size)]).reshape(2, -1, BINS)
+                narrow.append(np.stack([sums, wide[k] - sums], axis=2).reshape(2, nodes, BINS) if d else sums)
+            wide = narrow
+            gt, ht = wide[0].sum(axis=2) if width else (np.zeros(nodes), np.zeros(nodes))
             whole = gt**2 / (ht + ridge)
             for k in range(width):
-                key = local * BINS + binned[k]
-                gl = np.cumsum(np.bincount(key, g, nodes * BINS).reshape(nodes, BINS), axis=1)[:, :-1]
-                hl = np.cumsum(np.bincount(key, h, nodes * BINS).reshape(nodes, BINS), axis=1)[:, :-1]
+                gl, hl = np.cumsum(wide[k], axis=2)[:, :, :-1]
                 gr, hr = gt[:, None] - gl, ht[:, None] - hl
                 gain = gl**2 / (hl + ridge) + gr**2 / (hr + ridge) - whole[:, None]
                 gain[(hl < least / 4) | (hr < least / 4)] = 0

@@ -1,8 +1,8 @@
 """Mixing sources to target shares of the total size in tokens.
 
 1. Every document of a target source gets its size. Documents fall into
-   ``BUCKETS`` hash buckets for each source; only the bucket sums (bounded by
-   targets times buckets) reach the driver, which joins neighbouring buckets to
+   hash buckets within each source; only the bucket sums (at most ``MAX_SUMS``)
+   reach the driver, which joins neighbouring buckets to
    blocks of about equal size.
 2. The total is the largest one at which every source that has documents can
    give its share with no document used more than max_repeats times (or the
@@ -29,8 +29,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..session import cut
 from .bpe import count_ids
 
-BUCKETS = 1024
-MAX_TARGETS = 2_000
+#: Hash buckets of a source: at least BUCKETS, and about a thousand documents a bucket, as far as MAX_SUMS bucket sums
+#: of all targets together, which reach the driver (about 100 MB), allow.
+BUCKETS, DOCUMENTS_A_BUCKET, MAX_SUMS = 1024, 1000, 1_000_000
+MAX_TARGETS = 900
 #: A table of block uses is broadcast up to this many rows (of about 60 bytes); beyond, it is joined by a shuffle.
 BROADCAST_USES = 200_000
 SHARD_TOKENS = 4_000_000
@@ -40,8 +42,13 @@ BLOCKS_A_SHARD = 16
 _USES = "source string, bucket int, repeat_no int, shard int, cut_tokens long"
 
 
-def bucket_of(source: Column, key: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), source, key), F.lit(BUCKETS)).cast("int")
+def bucket_of(source: Column, key: Column, seed: int, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), source, key), F.lit(buckets)).cast("int")
+
+
+def buckets_for(documents: int, targets: int) -> int:
+    wanted = max(BUCKETS, -(-documents // DOCUMENTS_A_BUCKET))
+    return max(1, min(wanted, MAX_SUMS // max(1, targets)))
 
 
 def checked_targets(targets: DataFrame) -> list:
@@ -58,13 +65,10 @@ def checked_targets(targets: DataFrame) -> list:
     return list(one.values())
 
 
-def sized_documents(docs: DataFrame, sources: list[str], key: str, text: str, source: str, seed: int, path: str | None) -> DataFrame:
-    """_key, source, bucket, n_tokens of the documents of the sources, written to the shared folder as the sizes are used twice."""
+def sized_documents(docs: DataFrame, sources: list[str], key: str, text: str, source: str, path: str | None) -> DataFrame:
+    """_key, source, n_tokens of the documents of the sources, written to the shared folder as the sizes are used twice."""
     own = docs.where(F.col(source).isin(sources)) if sources else docs.where(F.lit(False))
-    return cut(
-        own.select(F.col(key).alias("_key"), F.col(source).alias("source"), count_ids(F.col(text), path).alias("n_tokens"))
-        .withColumn("bucket", bucket_of(F.col("source"), F.col("_key"), seed))
-    )
+    return cut(own.select(F.col(key).alias("_key"), F.col(source).alias("source"), count_ids(F.col(text), path).alias("n_tokens")))
 
 
 def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
@@ -99,7 +103,8 @@ def plan_uses(targets: list, sums: list, total: int | None, shards: int | None,
     most = min(size[t.source] * t.max_repeats / share[t.source] for t in able)
     whole = most if total is None else total
     quota = {t.source: int(min(share[t.source] * whole, size[t.source] * t.max_repeats)) for t in able}
-    shards = shards or max(LEAST_SHARDS, math.ceil(sum(quota.values()) / SHARD_TOKENS))
+    # no more shards than there are blocks for
+    shards = shards or max(LEAST_SHARDS, min(math.ceil(sum(quota.values()) / SHARD_TOKENS), sum(len(buckets[t.source]) for t in able) // BLOCKS_A_SHARD))
     aim = max(1, sum(quota.values()) // (shards * BLOCKS_A_SHARD))
     uses: list[list[list[tuple]]] = []  # by source: block uses, each a list of (bucket, repeat_no, cut_tokens)
     for t in able:
@@ -157,14 +162,15 @@ def mix(
     """
     spark = docs.sparkSession
     wanted = checked_targets(targets)
-    sized = sized_documents(docs, [t.source for t in wanted], key, text, source, seed, path)
-    sums = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens")).collect()  # at most targets x BUCKETS rows
+    sized = sized_documents(docs, [t.source for t in wanted], key, text, source, path)
+    sized = sized.withColumn("bucket", bucket_of(F.col("source"), F.col("_key"), seed, buckets_for(sized.count(), len(wanted))))
+    sums = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens")).collect()  # at most MAX_SUMS rows
     rows, _ = plan_uses(wanted, sums, total, shards, seed)
     uses = spark.createDataFrame(rows, _USES)
     small = len(rows) <= BROADCAST_USES
     drawn = sized.join(F.broadcast(uses) if small else uses, ["source", "bucket"])
     in_block = W.partitionBy("source", "bucket", "repeat_no", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "_key"), "_key")
-    # Only the buckets in which a quota ends are windowed; each is 1/1024 of its source.
+    # Only the buckets in which a quota ends are windowed; each is 1/1024 of its source or less.
     ended = drawn.where("cut_tokens is not null").withColumn("_to", F.sum("n_tokens").over(in_block)).where("_to - n_tokens / 2 <= cut_tokens").drop("_to")
     kept = drawn.where("cut_tokens is null").unionByName(ended)
     order = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "_key", "repeat_no"), "_key", "repeat_no")

@@ -12,6 +12,11 @@ def test_quotas_are_exact():
     assert 0.45 < shares.mean() < 0.55
 
 
+def test_bucket_bound():
+    assert mixture.buckets_for(10, 3) == 1024 and mixture.buckets_for(10**9, 10) == 100_000 and mixture.buckets_for(10**7, 10) == 10_000
+    assert mixture.buckets_for(0, 0) == 1024
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, f"woord nummer {i} " * (1 + i % 5), "big" if i % 3 else "mid", 1) for i in range(900)] + [(1000 + i, "klein woord " * 3, "small", 1) for i in range(9)] + [(2000, None, "small", 1), (2001, "x", None, 1), (2002, "y", "other", 1)]

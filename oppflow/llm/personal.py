@@ -5,8 +5,8 @@ mark-up); a skip-chain conditional random field (``skipchain``) labels them, and
 the items are the labelled spans. Words that recur in a document share
 potentials, so a name that is clear in one place is found in another.
 
-Stretches without any token that could begin an item are not scored: no letter
-case, digit or sign of an item occurs there (``_MAY``). Everything else is.
+Every stretch of a text is cut to tokens and scored. The messages are passed only
+near tokens whose own score leaves an item possible (``HOPELESS``).
 
 No text is labelled. The field is fitted to at most ``TRAIN_TEXTS`` texts of each
 table, labelled weakly (``weak_spans``): by the forms of addresses, numbers and
@@ -59,9 +59,9 @@ _TOKEN = re.compile(
     r"|(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+|&[a-zA-Z]+;[^\W\d_]*|&#\d+;[^\W\d_]+)*)"
     r"|(?P<line>\n)|(?P<sign>[^\s\w])|(?P<rest>\w+)"
 )
-#: A line that may hold an item: signs of addresses, seven digits, a code, a street with a number, initials, two capitalised words.
+#: A line that looks like an item: of the lines without items the field is fitted to these only. Signs of addresses, seven digits, a code, a street with a number, initials, two capitalised words.
 _CAP = r"[^\W\d_a-zß-öø-ÿ][\w'’-]*(?:&\w+;\w*)*"
-_MAY = re.compile(
+_LIKE = re.compile(
     rf"@|&#|&commat|\b(?:at|dot)\s?[\])]|\d(?:[ .\-/()]*\d){{6}}|\b[A-Z]{{2}}[A-Z0-9]{{6}}\d|[a-z]\s\d|[A-Z]\s\d|\b{_CAP}\.\s?{_CAP}"
     rf"|\b{_CAP},?\s+(?:(?:van|de|der|den|ter|ten|te|het|von|du|la|le|el)\s+)*{_CAP}|\b{_CAP},\s+{_CAP}"
 )
@@ -234,11 +234,10 @@ class Finder:
         got = self.known.get(text, 0)
         if got == 0:
             got = None
-            if _MAY.search(text):
-                toks = tokens(text)
-                types = np.array([self.type_id(t[0]) for t in toks], dtype=np.int32)
-                if len(toks) and self.hope()[types].any():
-                    got = toks, types
+            toks = tokens(text)
+            types = np.array([self.type_id(t[0]) for t in toks], dtype=np.int32)
+            if len(toks) and self.hope()[types].any():
+                got = toks, types
             if len(text) <= 400:
                 if len(self.known) > 60_000:
                     self.known.clear()
@@ -383,10 +382,10 @@ def fit_finder(texts: list[str], contact_names: list[str]) -> Finder:
     chains, gold, seen = [], [], {}
     for text in texts:
         for m in _BLOCK.finditer(text):
-            if not _MAY.search(m[0]):
-                continue
             toks = tokens(m[0])
             y = weak_spans(toks, names)
+            if not any(y) and not _LIKE.search(m[0]):
+                continue
             for a, b in _pieces(y):
                 shape = " ".join("X" if t[0].isupper() and not g else t if not g else LABELS[g] for (t, _, _), g in zip(toks[a:b], y[a:b]))
                 seen[shape] = seen.get(shape, 0) + 1

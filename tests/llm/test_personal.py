@@ -92,3 +92,23 @@ def test_edges(spark, items, data):
     rows = spark.createDataFrame([("a", None, 1), ("b", "", 1), ("c", "x " * 200_000, 1), ("c", "x " * 200_000, 1)], "record_id string, text string, items int")
     got = personal.found_items([("x", rows.select("record_id", "text"))], finder).collect()
     assert [r.record_id for r in got] == ["c"]
+
+
+def test_every_form_alone_in_its_block():
+    names = [f"{a} {b}" for a in ("Saskia", "Joris", "Willemijn") for b in ("Smit", "de Boer", "van der Molen")]
+    r = np.random.default_rng(3)
+    people = [f"{i}. {p} {n}".replace("  ", " ") for i in "ABCDEFGHIJ" for p in ("", "de", "van den", "ter") for n in ("Molenveld", "Broekhoek")] + names
+    mails = ["jan.smit@post.nl", "s.boer [at] post [dot] nl", "i.smit (apenstaartje) post (punt) nl"]
+    other = ["<p>De opdracht duurt een jaar.</p>", "<li>Ervaring met Oracle en Java</li>", "<h2>Over de opdracht</h2>", "We zoeken een ontwikkelaar"]
+    streets = ["Kerkstraat 5", "Oude Molenweg 12", "Stationsplein 3a"]
+    around = ["<dt>Contactpersoon</dt><dd>{}</dd>", "<dd>{}</dd>", "<td>{}</td>", "Contact: <strong>{}</strong>", "Neem contact op met {}."]
+    texts = [f"{r.choice(around).format(p)}\n{r.choice(other)}\n<td>{r.choice(mails)}</td>\n<p>Tel. 06-12345678</p>\n<td>{r.choice(streets)}</td>" for p in people + names * 4 for _ in range(3)]
+    finder = personal.fit_finder(texts, names * 2)
+    forms = [
+        ("person_name", "C. de Schiekveld"), ("person_name", "C. van den Schiekveld"), ("person_name", "C. Schiekveld"), ("person_name", "Saskia Smit"),
+        ("email", "jan.smit@post.nl"), ("email", "s.boer [at] post [dot] nl"), ("email", "i.smit (apenstaartje) post (punt) nl"),
+        ("phone", "06-12345678"), ("address", "Kerkstraat 5"),
+    ]
+    for kind, form in forms:
+        text = f"<dd>{form}</dd>"
+        assert finder.find([text]) == [[(kind, 4, 4 + len(form))]], form

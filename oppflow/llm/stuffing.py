@@ -7,6 +7,10 @@ two words, taken without the document's own occurrences. A document whose
 distinct pairs have a low mean is word salad; so is one with a higher mean that
 repeats its collocations excessively and in all combinations.
 
+Pages of the same keywords vouch for each other, the more of them there are. So
+what isn't flagged is measured again by counts without the flagged texts: a text
+whose mean falls by that had its evidence from keyword pages, and is one itself.
+
 Counts are over all distinct texts, so that copies of one spam page don't
 vouch for each other. Words are 64-bit hashes. The pairs of each text are
 counted in an Arrow-batched pass and written once; corpus counts are
@@ -32,6 +36,8 @@ CLEAR, DOUBT, FEW = 0.36, 0.42, 1.4
 #: A text is stuffed as well if its mean is below LOOSE, at least REPEATS of its pairs are repeats, and a word has at
 #: least MANY different followers: collocations repeated in every combination, as sentences, even repeated ones, are not.
 LOOSE, REPEATS, MANY = 0.64, 0.25, 1.8
+#: A text is stuffed as well if its mean falls by this much, to below LOOSE, when the texts flagged before are left out of the counts.
+FALL = 0.03
 #: Texts of fewer pairs are never flagged.
 LEAST_PAIRS = 12
 #: Added to the count of a pair, so that pairs found nowhere else have a value.
@@ -81,10 +87,14 @@ def _digest(c: Column) -> Column:
     return F.unhex(F.md5(c))
 
 
-def coherence(docs: DataFrame, text: str = "text") -> DataFrame:
-    """_text (digest), mean_npmi, repeat_share, n_pairs, branches of each distinct text that has a pair of words."""
+def counted_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The pairs of neighbouring words of each distinct text, with their own counts; written once."""
     texts = docs.select(_digest(F.col(text)).alias("_text"), F.col(text).alias("_t")).where("_t is not null and _t <> ''").dropDuplicates(["_text"])
-    pairs = cut(texts.mapInArrow(_count_pairs, _PAIRS))
+    return cut(texts.mapInArrow(_count_pairs, _PAIRS))
+
+
+def coherence(pairs: DataFrame) -> DataFrame:
+    """_text (digest), mean_npmi, repeat_share, n_pairs, branches of each text of pairs, by the counts of all of them."""
     known = pairs.groupBy("a", "b").agg(F.sum("n").cast("double").alias("ab"))
     left = known.groupBy("a").agg(F.sum("ab").alias("of_a"))
     right = known.groupBy("b").agg(F.sum("ab").alias("of_b"))
@@ -100,7 +110,7 @@ def coherence(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", clear: float = CLEAR, doubt: float = DOUBT, loose: float = LOOSE, repeats: float = REPEATS) -> DataFrame:
+def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", clear: float = CLEAR, doubt: float = DOUBT, loose: float = LOOSE, repeats: float = REPEATS, fall: float = FALL) -> DataFrame:
     """key, mean_npmi, repeat_share, branches, stuffed: one row for each row of docs.
 
     Defined cases: null, empty and blank texts and those of fewer than
@@ -108,12 +118,16 @@ def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     copies of a text share its scores; repeated rows come out as often; texts
     are read whole; an empty table gives an empty result.
     """
-    scores = coherence(docs, text)
-    ids = docs.select(F.col(key).alias("_key"), _digest(F.col(text)).alias("_text"))
-    few = F.coalesce(F.col("n_pairs"), F.lit(0)) < LEAST_PAIRS
+    pairs = counted_pairs(docs, text)
+    few = F.col("n_pairs") < LEAST_PAIRS
     mean, branches = F.col("mean_npmi"), F.col("branches")
     salad = (mean < clear) | (mean < doubt) & (branches >= FEW)
     is_spam = salad | (mean < loose) & (F.col("repeat_share") >= repeats) & (branches >= MANY)
-    return ids.join(scores, "_text", "left").select(
-        F.col("_key").alias(key), "mean_npmi", "repeat_share", "branches", (F.coalesce(is_spam, F.lit(False)) & ~few).alias("stuffed")
+    scores = cut(coherence(pairs).withColumn("_first", F.coalesce(is_spam & ~few, F.lit(False))))
+    others = coherence(pairs.join(scores.where("_first").select("_text"), "_text", "left_anti")).select("_text", F.col("mean_npmi").alias("_apart"))
+    fallen = (mean - F.col("_apart") >= fall) & (F.col("_apart") < loose) & ~few
+    flagged = scores.join(others, "_text", "left").withColumn("stuffed", F.col("_first") | F.coalesce(fallen, F.lit(False)))
+    ids = docs.select(F.col(key).alias("_key"), _digest(F.col(text)).alias("_text"))
+    return ids.join(flagged, "_text", "left").select(
+        F.col("_key").alias(key), "mean_npmi", "repeat_share", "branches", F.coalesce("stuffed", F.lit(False)).alias("stuffed")
     )

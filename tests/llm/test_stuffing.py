@@ -24,5 +24,22 @@ def test_salad_and_writing(spark):
     assert stuffing.stuffed_documents(df.limit(0)).collect() == []
 
 
+def test_pages_of_the_same_keywords_do_not_vouch(spark):
+    r = random.Random(5)
+    syllables = ["ba", "do", "ki", "lo", "mer", "nu", "pas", "rie", "sta", "ver", "wo", "zen"]
+    word = lambda k=3: "".join(r.choices(syllables, k=k))
+    vocabulary = [word() for _ in range(400)]
+    sentences = [" ".join(["de", *r.choices(vocabulary, k=4), "van het", *r.choices(vocabulary, k=3)]) + "." for _ in range(120)]
+    writing = [" ".join(r.choice(sentences) for _ in range(12)) for _ in range(300)]
+    keys = [f"trefwoord{chr(97 + i)}" for i in range(20)]
+    near = lambda i: f"{keys[i]} {keys[(i + r.choice((1, 2))) % 20]}"
+    spam = [" ".join(f"{near(r.randrange(20))} {r.choice(vocabulary)}" for _ in range(15)) for _ in range(40)]
+    plain = [" ".join(keys)]  # all its pairs are those of the others
+    df = spark.createDataFrame(list(enumerate(writing + spam + plain)), "doc_id long, text string")
+    got = {x.doc_id: x for x in stuffing.stuffed_documents(df).collect()}
+    assert all(got[i].stuffed for i in range(300, 340)) and got[340].stuffed, got[340]
+    assert not any(got[i].stuffed for i in range(300))
+
+
 def test_words():
     assert stuffing.words("Zaak2025, de-zaak\u200bA") == ["zaak0", "de", "zaaka"]

@@ -3,8 +3,8 @@
 Every distinct stored value is parsed to its words (folded, without articles,
 desks and departments). Links between such forms come from
 
-* typing errors: a segment join of the whole names (``segments``) verified by a
-  banded edit distance word by word;
+* typing errors: segment joins of the whole names and of their words (``segments``),
+  verified by a banded edit distance word by word;
 * other orders of the words: the sorted words are the form;
 * short forms: the words of a name with short words or a particle are matched with those of a
   full name that shares its longest word up to one edit (again a segment join);
@@ -165,7 +165,47 @@ def _typed_links(forms: DataFrame) -> DataFrame:
         return pd.Series([same_but_typed(x, y) for x, y in zip(a, b)])
 
     strings = forms.select(F.col("form").alias("s")).where(F.length("s") >= 8)
-    return segment_pairs(strings, K).where(typed("a", "b")).select("a", "b")
+    met = segment_pairs(strings, K).select("a", "b").union(_word_pairs(strings)).union(_same_letters(strings))
+    return met.distinct().where(typed("a", "b"))
+
+
+def _same_letters(strings: DataFrame) -> DataFrame:
+    """Pairs of forms of the same letters: those with a space lost or put in, in any order of their words."""
+    keyed = strings.select("s", F.array_join(F.array_sort(F.split(F.regexp_replace("s", " ", ""), "")), "").alias("letters"))
+    return keyed.withColumnRenamed("s", "a").join(keyed.withColumnRenamed("s", "b"), "letters").where("a < b").select("a", "b")
+
+
+def _word_pairs(strings: DataFrame) -> DataFrame:
+    """Pairs of forms of as many words that differ in one or two long words, by at most two edits (a swap is two) in each.
+
+    The words of all forms are joined by segments; forms are met at their other words and the near ones.
+    So the pairs don't depend on the order of the words or on the edits of the whole form.
+    """
+    words = strings.select(F.explode(F.array_distinct(F.split("s", " "))).alias("s")).where("length(s) >= 5").distinct()
+    near = segment_pairs(words, K).select("a", "b")
+    near = cut(near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(words.select(F.col("s").alias("a"), F.col("s").alias("b"))))
+    second = near.union(near.sparkSession.createDataFrame([("", "")], "a string, b string"))
+
+    @F.pandas_udf("array<struct<rest:string,x:string,y:string>>")
+    def without(s: pd.Series) -> pd.Series:
+        return pd.Series([_without(x) for x in s], dtype=object)
+
+    open_ = cut(strings.select(F.col("s").alias("form"), F.explode(without("s")).alias("w")).select("form", "w.*"))
+    left = open_.join(near.select(F.col("a").alias("x"), F.col("b").alias("x2")), "x").join(second.select(F.col("a").alias("y"), F.col("b").alias("y2")), "y")
+    left = left.select("rest", F.greatest("x2", "y2").alias("x"), F.least("x2", "y2").alias("y"), F.col("form").alias("a")).distinct()
+    return left.join(open_.withColumnRenamed("form", "b"), ["rest", "x", "y"]).where("a < b").select("a", "b")
+
+
+def _without(form: str) -> list[tuple[str, str, str]]:
+    """Of each long word and each two of a form: the other words, the greater one and the other (empty if it is one)."""
+    words = form.split()
+    long = [i for i, w in enumerate(words) if len(w) >= 5]
+    out = {(" ".join(words[:i] + words[i + 1 :]), words[i], "") for i in long}
+    for k, i in enumerate(long):
+        for j in long[k + 1 :]:
+            y, x = sorted((words[i], words[j]))
+            out.add((" ".join(w for n, w in enumerate(words) if n not in (i, j)), x, y))
+    return sorted(out)
 
 
 def _short_links(forms: DataFrame) -> DataFrame:

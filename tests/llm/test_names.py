@@ -68,6 +68,21 @@ def test_spellings_of_one_client(spark):
     assert names.linked_pairs(df.limit(0)).collect() == []
 
 
+def test_two_words_typed_wrong(spark):
+    pairs = [
+        ("Waterschap Grootveld", "Watreschap Grotoveld"),  # two swaps
+        ("Hogeschool Boomdal", "Hogseschool Bomodal"),  # an edit and a swap
+        ("Omgevingsdienst Kleinwaard", "Xmgevingsdienst Kleiwnaard"),  # another order of the words
+        ("Regionale Brandweer Zuiderhoek", "Rgeionale Brandweer Zuidrehoek"),
+        ("GGD Zandmeerland", "GGD Aandmeerland"),  # one word, another order
+        ("Provincie Berkelstroom", "provincieberkelstroom"),  # a space lost, another order
+    ]
+    df = spark.createDataFrame([(v,) for p in pairs for v in p], "client_name string")
+    assert all(names.same_but_typed(*(" ".join(names.parse_name(v)[0]) for v in p)) for p in pairs)
+    got = {(r.name_a, r.name_b) for r in names.linked_pairs(df).collect()}
+    assert got == {tuple(sorted(p)) for p in pairs}
+
+
 def test_spelling_helpers():
     assert mend("RiÃ«l") == "Riël" and fold("DÉ\u200bJÀ") == "deja"
     assert is_short_for("gzd", "gezondheidsdienst") and not is_short_for("gzd", "zorg") and not is_short_for("weg", "weg")

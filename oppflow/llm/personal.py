@@ -1,21 +1,30 @@
 """Finding personal data in texts and putting typed placeholders in their place.
 
-A text is cut to tokens (words, initials, numbers, whole addresses of e-mail,
-mark-up); a skip-chain conditional random field (``skipchain``) labels them, and
-the items are the labelled spans. Words that recur in a document share
-potentials, so a name that is clear in one place is found in another.
-
-Every stretch of a text is cut to tokens and scored. The messages are passed only
-near tokens whose own score leaves an item possible (``HOPELESS``).
+A text is cut to tokens (words, initials, numbers, addresses with an at sign); a
+skip-chain conditional random field (``skipchain``) labels them, and the items
+are the labelled spans. A token says what it looks like (how many digits, which
+signs), never what it is; mark-up stands as a break before the next token, so
+that the name of a field speaks to its value. Words that read the same or nearly
+so in a document share potentials, so a name that is clear in one place is found
+in another.
+
+Every stretch of every text is scored. A skip edge is left out only where it can
+change nothing: potentials only reward agreement, so an edge whose ends both have
+the same kind of label with a probability of ``SURE`` by the chains alone could
+but confirm it.
 
 No text is labelled. The field is fitted to at most ``TRAIN_TEXTS`` texts of each
-table, labelled weakly (``weak_spans``): by the forms of addresses, numbers and
-names, and by the contact names that the structured records of pages hold.
+table, labelled weakly (``weak_spans``): by the contact data that the structured
+records of pages hold, and by the forms of addresses, numbers and names. What the
+weak labels can't know it learns from copies of these texts (``varied``): names
+that it has never seen, surnames after a title alone, and surnames that recur
+without anything beside them, misspelled or not, in the same document.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field as data_field
 from functools import lru_cache
@@ -25,16 +34,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import skipchain
-from .spelling import fold
+from .spelling import banded_distance, fold
 
 #: Texts of each table that the field is fitted to, at most.
 TRAIN_TEXTS = 900
-#: Items of one wording (capitals and digits apart) that the field is fitted to, at most.
-ALIKE = 12
-#: A token whose own score for every kind is this much below that for none can't begin or continue an item.
-HOPELESS = 2.5
+#: Pieces of one wording (rare capitalised words apart) that the field is fitted to, at most: with items, without.
+ALIKE, ALIKE_WITHOUT = 24, 120
+#: Capitalised words that stand in the sample this often are words of that wording.
+OFTEN = 12
+#: Chains with items that the field is fitted to, and chains without, at most.
+WITH_ITEMS, WITHOUT = 4000, 7000
+#: Probability from which a label is sure by its chain alone; a sentence of which no token's is below is not searched for another labelling.
+SURE = 0.999
+#: Letters of words that skip edges join: equal words, and words one edit apart.
+LINKED, LINKED_TYPED = 3, 5
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
+#: Marks of a token's type: mark-up, or the end of a line, stands before it.
+BREAK, LINE = "\x1e", "\x1f"
 
 # Particles and titles of names, ends of street names, words before them, words of organisations.
 PARTICLES = {"van", "de", "der", "den", "ter", "ten", "te", "het", "'t", "von", "du", "la", "le", "el", "al", "op", "in"}
@@ -47,24 +64,18 @@ ID_CUES = {"bsn", "burgerservicenummer", "burgerservicenr", "sofinummer", "legit
 
 _AT = r"(?:\s?@\s?|&#0*64;|&#x0*40;|&commat;|&#0*9;|\s?[\[(]\s?(?:at|apenstaartje)\s?[\])]\s?)"
 _DOT = r"(?:\.|&#0*46;|&period;|\s?[\[(]\s?(?:dot|punt)\s?[\])]\s?)"
-_EMAIL = rf"[^\W_][\w.+%-]*{_AT}[^\W_][\w-]*(?:{_DOT}[\w-]+)+"
+_MAIL = rf"[^\W_][\w.+%-]*{_AT}[^\W_][\w-]*(?:{_DOT}[\w-]+)*"
 _NUMBER = r"(?:\+|\(\+?)?\d(?:\d|\)?[ .\-]{1,3}(?=\d)|[ ]?\(0\)[ \-]?(?=\d)|\)(?=\d))*"
 _TOKEN = re.compile(
-    rf"(?P<email>{_EMAIL})"
+    rf"(?P<email>{_MAIL})"
     r"|(?P<tag></?[a-zA-Z!](?![^>]*(?:mailto:|@|tel:|&#|&commat|[\[(]\s?(?:at|apenstaartje)\s?[\])]))[^<>]*>)"
     r"|(?P<entity>&#?\w+;)"
-    r"|(?P<code>\b(?=[A-Z0-9]*\d)[A-Z]{2}[A-Z0-9]{6}\d\b)"
+    r"|(?P<code>\b(?=[A-Za-z]*\d)(?=\d*[A-Za-z])[A-Za-z0-9]{6,20}\b)"
     rf"|(?P<number>{_NUMBER})(?P<suffix>(?:[a-zA-Z]|[ -]?(?:bis|[IVX]{{1,4}}|[A-Z]))\b(?![\w@]|\.\w))?"
     r"|(?P<initial>(?:[^\W\d_]\.[ ]?)+(?=[ ]?[^\W\d_]|[,<\s)]|$))"
     r"|(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+|&[a-zA-Z]+;[^\W\d_]*|&#\d+;[^\W\d_]+)*)"
     r"|(?P<line>\n)|(?P<sign>[^\s\w])|(?P<rest>\w+)"
 )
-#: A line that looks like an item: of the lines without items the field is fitted to these only. Signs of addresses, seven digits, a code, a street with a number, initials, two capitalised words.
-_CAP = r"[^\W\d_a-zß-öø-ÿ][\w'’-]*(?:&\w+;\w*)*"
-_LIKE = re.compile(
-    rf"@|&#|&commat|\b(?:at|dot)\s?[\])]|\d(?:[ .\-/()]*\d){{6}}|\b[A-Z]{{2}}[A-Z0-9]{{6}}\d|[a-z]\s\d|[A-Z]\s\d|\b{_CAP}\.\s?{_CAP}"
-    rf"|\b{_CAP},?\s+(?:(?:van|de|der|den|ter|ten|te|het|von|du|la|le|el)\s+)*{_CAP}|\b{_CAP},\s+{_CAP}"
-)
 _BLOCK = re.compile(r"[^\n]+(?:(?<![>.:;])\n(?![<\s•*\-])[^\n]+)*")
 
 
@@ -75,68 +86,114 @@ def elevenproof(digits: str) -> bool:
     return len(digits) == 9 and sum(int(d) * w for d, w in zip(digits, (9, 8, 7, 6, 5, 4, 3, 2, -1))) % 11 == 0 and len(set(digits)) > 1
 
 
+@lru_cache(100_000)
 def number_type(text: str) -> str:
-    """The shape of a number: how many digits, how it begins, what stands in it."""
+    """What a number looks like: how it begins, how many digits follow a country's code, the signs in it, whether it passes the eleven test."""
     digits = re.sub(r"\D", "", text)
-    n = len(digits)
-    rest = digits[4:] if digits.startswith("0031") else digits[2:] if text.lstrip("(").startswith("+31") else ""
-    if rest:
-        rest = rest[1:] if rest.startswith("0") else rest
-        return "#phone" if len(rest) == 9 else f"#plus{min(len(rest), 12)}"
-    if n == 10 and digits[0] == "0" and digits[1] != "0":
-        return "#phone"
-    if n == 9:
-        return "#nine11" if elevenproof(digits) else "#nine"
-    if text.startswith("+") and 9 <= n <= 14:
-        return "#plus"
-    if n == 4 and digits[:2] in ("19", "20"):
-        return "#year"
-    return f"#n{min(n, 12)}" + ("." if "." in text else "") + ("-" if "-" in text else "")
-
-
-_TAG_NAME = re.compile(r"</?\s*\w*")
+    lead, rest = "", digits
+    if digits.startswith("0031"):
+        lead, rest = "0031", digits[4:]
+    elif text.lstrip("(").startswith("+"):
+        lead, rest = ("+31", digits[2:]) if digits.startswith("31") else ("+", digits)
+    if lead in ("0031", "+31") and len(rest) > 9 and rest.startswith("0"):
+        rest = rest[1:]
+    if not lead:
+        lead = "0" if digits.startswith("0") and not digits.startswith("00") else "00" if digits.startswith("00") else "19" if len(digits) == 4 and digits[:2] in ("19", "20") else "1"
+    signs = "".join(sorted({c for c in text if c in ".-("}))
+    return f"#{lead}:{min(len(rest), 15)}:{signs}" + (":eleven" if lead in ("0", "1", "00") and elevenproof(digits) else "")
+
+
+@lru_cache(100_000)
+def mail_type(text: str) -> str:
+    """What stands around an at sign: how the sign is written, how many dots follow."""
+    sign = re.search(_AT, text)[0].strip()
+    dots = len(re.findall(_DOT, re.split(_AT, text, maxsplit=1)[1]))
+    return f"@{'@' if sign == '@' else '&' if sign[0] == '&' else '('}:{min(dots, 3)}"
+
+
+def code_type(text: str) -> str:
+    """Letters and digits mixed: how many, whether capitals, how it begins and ends."""
+    sort = lambda c: "0" if c.isdigit() else "X" if c.isupper() else "x"
+    case = "X" if not re.search("[a-z]", text) else "x" if not re.search("[A-Z]", text) else "m"
+    return f"${case}:{len(text)}:{''.join(sort(c) for c in text[:2])}:{sort(text[-1])}"
+
+
 _fold = lru_cache(200_000)(fold)
 
 
 def tokens(text: str, base: int = 0) -> list[Token]:
     out: list[Token] = []
     add = out.append
+    mark = ""
     for m in _TOKEN.finditer(text):
         kind, a, b = m.lastgroup, base + m.start(), base + m.end()
-        if kind == "word" or kind == "sign" or kind == "entity" or kind == "rest" or kind == "line":
-            add((m[0], a, b))
+        if kind == "tag":
+            mark = BREAK
+            continue
+        if kind == "line":
+            mark = mark or LINE
+            continue
+        if kind == "word" or kind == "sign" or kind == "entity" or kind == "rest":
+            add((mark + m[0], a, b))
         elif kind == "email":
-            add(("@mail", a, b))
-        elif kind == "tag":
-            add(("<" + _TAG_NAME.match(m[0])[0][1:] + ">", a, b))
+            add((mark + mail_type(m[0]), a, b))
         elif kind == "code":
-            add(("#code", a, b))
+            add((mark + code_type(m[0]), a, b))
         elif kind == "initial":
-            add(("#init" if m[0][0].isupper() else m[0].strip().lower(), a, base + m.start() + len(m[0].rstrip())))
+            add((mark + ("#init" if m[0][0].isupper() else m[0].strip().lower()), a, base + m.start() + len(m[0].rstrip())))
         else:
             number, suffix = m["number"], m["suffix"]
             shape = number_type(number)
             if not suffix:
-                add((shape, a, b))
+                add((mark + shape, a, b))
             elif len(re.sub(r"\D", "", number)) <= 4:
-                add((shape + "s", a, b))
+                add((mark + shape + ":s", a, b))
             else:
-                add((shape, a, base + m.end("number")))
+                add((mark + shape, a, base + m.end("number")))
                 add((suffix.strip(" -"), base + m.start("suffix"), b))
+        mark = ""
+    # a comma before a capital says what follows it, as names stand in reverse order
+    for i in range(len(out) - 1):
+        if out[i][0] == ",":
+            t = out[i + 1][0]
+            if t == "#init" or t[0].isupper():
+                out[i] = ("," + t, out[i][1], out[i][2])
     return out
 
 
+def bare(t: str) -> str:
+    """A type without the mark before it."""
+    return t[1:] if t[0] in BREAK + LINE else t
+
+
+def unseen(t: str) -> str:
+    """The type of a word like this one that no text has."""
+    mark, word = (t[0], t[1:]) if t[0] in BREAK + LINE else ("", t)
+    return f"{mark}?{'XX' if word.isupper() else 'Xx'}"
+
+
 def type_features(t: str, first_names: set[str]) -> list[str]:
     """Features of a token's type."""
-    if t[0] in "#@<" and len(t) > 1:
-        return ["t=" + t, "kind=" + t[0], "t1=" + t[:3]]
-    low = fold(t)
+    mark = {BREAK: ["break"], LINE: ["line"]}.get(t[0], [])
+    t = bare(t)
+    if t[0] == "?" and len(t) > 2:
+        return mark + ["s=" + t[1:3]]
+    if t == "#init":
+        return mark + ["init"]
+    if t[0] == "@" and len(t) > 1:
+        return mark + ["t=" + t]
+    if t[0] == "," and len(t) > 1:
+        return mark + ["t=,", "sign", "next"] + (["nextinit"] if t[1] == "#" else ["nextfirst"] if _fold(t[1:]) in first_names else ["nextXX"] if t[1:].isupper() else [])
+    if t[0] in "#$" and len(t) > 1:
+        parts = t.split(":")
+        return mark + ["t=" + t, "u=" + ":".join(parts[:2]), "kind=" + t[0], "last=" + parts[-1]]
+    low = _fold(t)
     if not t[0].isalpha():
-        return ["t=" + t, "sign"]
+        return mark + ["t=" + t, "sign"]
     shape = "XX" if t.isupper() and len(t) > 1 else "Xx" if t[0].isupper() else "xx"
     if low in PARTICLES:
-        return ["particle", "particle" + shape] + (["w=" + low] if low in ("op", "in", "te", "het") else [])
-    out = ["w=" + low, "s=" + shape, "e3=" + low[-3:], "e2=" + low[-2:], "n=" + str(min(len(t), 8)), shape + "e3=" + low[-3:]]
+        return mark + ["particle", "particle" + shape] + (["w=" + low] if low in ("op", "in", "te", "het") else [])
+    out = mark + ["w=" + low, "s=" + shape, "e3=" + low[-3:], shape + "e3=" + low[-3:]]
     if low in TITLES:
         out.append("title")
     if low in first_names and shape != "xx":
@@ -152,11 +209,26 @@ def type_features(t: str, first_names: set[str]) -> list[str]:
     return out
 
 
-def weak_spans(toks: list[Token], first_names: set[str]) -> list[int]:
-    """Labels by the forms of items and by known contact names."""
+def is_word(t: str) -> bool:
+    """A capitalised word of two letters or more."""
+    t = bare(t)
+    return t[0].isalpha() and t[0].isupper() and len(t) > 1
+
+
+def _house_number(t: str) -> bool:
+    return bool(re.match(r"#(?:1|19):[1-4]:\W?(?::s)?$", bare(t)))
+
+
+def _phone_like(t: str) -> bool:
+    return bool(re.match(r"#(?:(?:\+31|0031):9|0:10):[^:]*$", bare(t)))
+
+
+def weak_spans(toks: list[Token], first_names: set[str], own: frozenset[str] = frozenset()) -> list[int]:
+    """Labels by the forms of items and by known contact names. own: folded words of the name in the record of the text."""
     y = [0] * len(toks)
     types = [t[0] for t in toks]
-    low = [_fold(t) if t[0].isalpha() else t for t in types]
+    low = [_fold(bare(t)) if bare(t)[0].isalpha() else bare(t) for t in types]
+    known = lambda w: w in first_names or w in own
 
     def mark(a: int, b: int, kind: str) -> None:
         k = LABELS.index("B-" + kind)
@@ -166,40 +238,40 @@ def weak_spans(toks: list[Token], first_names: set[str]) -> list[int]:
         for i in range(a + 1, b):
             y[i] = k + 1
 
-    is_cap = lambda i: i < len(toks) and types[i][0].isalpha() and types[i][0].isupper() and len(types[i]) > 1
-    is_number = lambda i: i < len(toks) and re.match(r"#n[1-4]s?$|#years?$", types[i])
+    cap = lambda i: i < len(toks) and is_word(types[i])
+    joined = lambda i: i < len(toks) and types[i][0] not in BREAK + LINE
     for i, t in enumerate(types):
-        if t == "@mail":
+        t = bare(t)
+        if t[0] == "@" and t[-1] != "0" and len(t) > 1:
             mark(i, i + 1, "email")
-        elif t == "#phone":
+        elif _phone_like(t):
             mark(i, i + 1, "phone")
-        elif t == "#code" or t == "#nine11" and (any(w in ID_CUES for w in low[max(0, i - 3) : i]) or "geboren" in low[max(0, i - 9) : i]):
+        elif (t[0] == "$" and t.startswith("$X:9:XX") and t.endswith("0")) or t.endswith(":eleven") and (any(w in ID_CUES for w in low[max(0, i - 3) : i]) or "geboren" in low[max(0, i - 9) : i]):
             mark(i, i + 1, "id_number")
-        elif is_cap(i) and "street" in type_features(t, first_names) and is_number(i + 1):
-            a = i - 1 if i and low[i - 1] in STREET_FIRST and is_cap(i - 1) else i
-            if a > 1 and types[a - 1] == "." and low[a - 2] in STREET_TITLES and is_cap(a - 2):
+        elif cap(i) and "street" in type_features(t, first_names) and joined(i + 1) and _house_number(types[i + 1]):
+            a = i - 1 if i and low[i - 1] in STREET_FIRST and cap(i - 1) and joined(i) else i
+            if a > 1 and types[a - 1] == "." and low[a - 2] in STREET_TITLES and cap(a - 2):
                 a -= 2
             mark(a, i + 2, "address")
     i = 0
     while i < len(toks):
-        t = types[i]
+        t = bare(types[i])
         b = 0
-        starts_first = low[i] in first_names and is_cap(i)
+        starts_first = cap(i) and known(low[i])
         if (starts_first or t == "#init") and not y[i]:
             j = i + 1
-            while j < len(toks) and (low[j] in PARTICLES or types[j] == "#init") and types[j] != "\n":
+            while joined(j) and (low[j] in PARTICLES or low[j] == "#init"):
                 j += 1
-            if is_cap(j) and not y[j] and low[j] not in ORGANISATION and (t == "#init" or len(low[j]) > 3):
+            if joined(j) and cap(j) and not y[j] and low[j] not in ORGANISATION and (t == "#init" or len(low[j]) > 3):
                 b = j + 1
-        elif is_cap(i) and i + 2 < len(toks) and types[i + 1] == "," and (low[i + 2] in first_names and is_cap(i + 2) or types[i + 2] == "#init") and not y[i]:
+        elif cap(i) and joined(i + 1) and joined(i + 2) and types[i + 1][0] == "," and (known(low[i + 2]) and cap(i + 2) or low[i + 2] == "#init") and not y[i]:
             b = i + 3
-            while b < len(toks) and low[b] in PARTICLES:
+            while joined(b) and low[b] in PARTICLES:
                 b += 1
-            if b < len(toks) and is_cap(b) and low[b] not in TITLES:  # what stands before the comma is no surname
+            if joined(b) and cap(b) and low[b] not in TITLES:  # what stands before the comma is no surname
                 b = 0
         if b:
-            org = any(w in ORGANISATION for w in low[max(0, i - 2) : i])
-            if not org:
+            if not any(w in ORGANISATION for w in low[max(0, i - 2) : i]):
                 mark(i, b, "person_name")
             i = b
         else:
@@ -207,109 +279,171 @@ def weak_spans(toks: list[Token], first_names: set[str]) -> list[int]:
     return y
 
 
+@dataclass
+class Block:
+    """A stretch of a text: its tokens (from its start) and types, what its chain alone makes of it."""
+
+    toks: list[Token]
+    types: np.ndarray  # with those of the context first
+    ahead: int  # tokens of the context
+    items: list[tuple[str, int, int]]
+    links: dict[str, list[tuple[int, int, bool]]]  # of a word: position in the chain, its likeliest kind, whether that is sure
+    after: tuple[int, ...]  # types that the next stretch has as context
+
+
 @dataclass
 class Finder:
     """Labels texts by a fitted field."""
 
     model: skipchain.Field
     first_names: set[str]
+    sure: float = SURE
     types: dict[str, int] = data_field(default_factory=dict)
+    names: list[str] = data_field(default_factory=list)
     scores: list[np.ndarray] = data_field(default_factory=list)
-    hopeful: list[bool] = data_field(default_factory=list)
-    known: dict[str, tuple | None] = data_field(default_factory=dict)
-    _hope: np.ndarray = data_field(default_factory=lambda: np.zeros(0, dtype=bool))
-    _alike: np.ndarray = data_field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    known: dict[tuple, Block] = data_field(default_factory=dict)
+    _scores: np.ndarray | None = None
 
     def type_id(self, t: str) -> int:
         i = self.types.get(t)
         if i is None:
             i = self.types[t] = len(self.scores)
-            scores = self.model.type_scores(type_features(t, self.first_names))
-            self.scores.append(scores)
-            self.hopeful.append(bool(scores[0, 1:].max() > scores[0, 0] - HOPELESS))
+            self.names.append(t)
+            self.scores.append(self.model.type_scores(type_features(t, self.first_names)))
         return i
 
-    def block(self, text: str) -> tuple[list[Token], np.ndarray] | None:
-        """Tokens (from the start of the block) and their types, remembered for short blocks that recur; None if there can be no item."""
-        got = self.known.get(text, 0)
-        if got == 0:
-            got = None
-            toks = tokens(text)
-            types = np.array([self.type_id(t[0]) for t in toks], dtype=np.int32)
-            if len(toks) and self.hope()[types].any():
-                got = toks, types
-            if len(text) <= 400:
-                if len(self.known) > 60_000:
-                    self.known.clear()
-                self.known[text] = got
-        return got
-
-    def hope(self) -> np.ndarray:
-        if len(self._hope) != len(self.hopeful):
-            self._hope = np.array(self.hopeful)
-        return self._hope
+    def all_scores(self) -> np.ndarray:
+        if self._scores is None or len(self._scores) != len(self.scores):
+            self._scores = np.stack(self.scores)
+        return self._scores
 
     def find(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """Of each text its items: kind, start, end (code points)."""
-        if len(self.types) > 300_000:
-            self.types, self.scores, self.hopeful, self.known = {}, [], [], {}
-        parts: list[tuple[list[Token], np.ndarray]] = []
-        owner: list[int] = []  # of each chain
-        base: list[int] = []
+        if len(self.types) > 300_000 or len(self.known) > 60_000:
+            self.types, self.names, self.scores, self.known, self._scores = {}, [], [], {}, None
+        parts: list[list[tuple[Block, int]]] = [[] for _ in texts]  # of each text its stretches and where they begin
+        new: list[Block] = []
         for k, text in enumerate(texts):
             if not text:
                 continue
+            context: tuple[int, ...] = ()
             for m in _BLOCK.finditer(text):
-                got = self.block(m[0])
-                if got is not None:
-                    parts.append(got)
-                    owner.append(k)
-                    base.append(m.start())
-        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        if not parts:
-            return out
-        lengths = np.array([len(p[1]) for p in parts])
+                key = (context, m[0])
+                block = self.known.get(key)
+                if block is None:
+                    toks = tokens(m[0])
+                    own = [self.type_id(t[0]) for t in toks]
+                    block = Block(toks, np.array([*context, *own], dtype=np.int32), len(context), [], {}, tuple(own[-2:]) or context)
+                    if toks:
+                        new.append(block)
+                    if len(m[0]) <= 400:
+                        self.known[key] = block
+                if block.toks:
+                    parts[k].append((block, m.start()))
+                context = block.after
+        self._alone(new)
+        edges, again = [], []
+        for k, own in enumerate(parts):
+            mine = self._open_edges(own)
+            edges += [((k, *x[:2]), (k, *y[:2]), sort) for x, y, sort in mine]
+            again += sorted({(k, e[0]) for x, y, _ in mine for e in (x, y)})
+        items = self._together(parts, again, edges)
+        out = []
+        for k, own in enumerate(parts):
+            found = {(kind, at + a, at + z) for n, (b, at) in enumerate(own) for kind, a, z in items.get((k, n), b.items)}
+            out.append(sorted(found, key=lambda x: (x[1], x[0])))
+        return out
+
+    def _alone(self, new: list[Block]) -> None:
+        """What the chain alone makes of each stretch."""
+        if not new:
+            return
+        lengths = np.array([len(b.types) for b in new])
+        types = np.concatenate([b.types for b in new])
+        u = skipchain.flat_unary(self.all_scores(), types, lengths)
+        p = skipchain.chain_marginals(self.model, u, lengths)
+        kinds = self.model.kind_of
+        by_kind = np.stack([p[:, kinds == k].sum(axis=1) for k in range(kinds.max() + 1)], axis=1)
+        kind, sure = by_kind.argmax(axis=1), by_kind.max(axis=1) >= self.sure
         first = np.cumsum(lengths) - lengths
-        types = np.concatenate([p[1] for p in parts])
-        chain = np.repeat(np.arange(len(lengths)), lengths)
-        # what is far from every token that could be part of an item is left out of its chain
-        hope = self.hope()[types]
-        near = hope.copy()
-        for d in range(1, 4):
-            near[d:] |= hope[:-d] & (chain[d:] == chain[:-d])
-            near[:-d] |= hope[d:] & (chain[d:] == chain[:-d])
-        kept = np.flatnonzero(near)
-        new = np.ones(len(kept), dtype=bool)
-        new[1:] = (np.diff(kept) > 1) | (chain[kept[1:]] != chain[kept[:-1]])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(kept)))
-        scores = np.stack(self.scores)
-        u = skipchain.flat_unary(scores, types[kept], sizes)
-        labels = skipchain.decode(self.model, u, sizes, self._edges(types, kept, np.array(owner)[chain[kept]]))
-        marked = np.add.reduceat(labels != 0, starts) > 0
-        for a, n in zip(starts[marked].tolist(), sizes[marked].tolist()):
-            c = int(chain[kept[a]])
-            from_ = int(kept[a] - first[c])
-            out[owner[c]] += [(k, base[c] + x, base[c] + y) for k, x, y in spans(parts[c][0], from_, labels[a : a + n].tolist())]
-        return [sorted(set(items), key=lambda x: (x[1], x[0])) for items in out]
-
-    def _edges(self, types: np.ndarray, kept: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Skip edges: each hopeful word of four letters or more with a capital and the next one of its document that reads alike."""
-        if len(self._alike) != len(self.hopeful):
-            keys: dict[str, int] = {}
-            self._alike = np.array(
-                [keys.setdefault(_fold(t), len(keys)) if h and len(t) >= 4 and t[0].isupper() else -1 for t, h in zip(self.types, self.hopeful)], dtype=np.int64
-            )
-        alike = self._alike[types[kept]]
-        at = np.flatnonzero(alike >= 0)
-        order = at[np.lexsort((at, alike[at], text[at]))]
-        a, b = order[:-1], order[1:]
-        same = (alike[a] == alike[b]) & (text[a] == text[b])
-        return np.stack([a[same], b[same]], axis=1)
-
-
-def spans(toks: list[Token], first: int, labels: list[int]) -> list[tuple[str, int, int]]:
-    """Labelled stretches of the tokens from first on, each checked for the form that its kind must have."""
+        open_ = np.logical_or.reduceat((kind > 0) | ~sure, first)
+        at = np.flatnonzero(open_)
+        if len(at):
+            inside = np.repeat(open_, lengths)
+            labels = skipchain.best_labels(self.model, u[inside], lengths[at])
+            ends = np.cumsum(lengths[at])
+            for c, e in zip(at.tolist(), ends.tolist()):
+                b = new[c]
+                b.items = spans(b.toks, labels[e - lengths[c] + b.ahead : e].tolist())
+        kind, sure = kind.tolist(), sure.tolist()
+        for c, b in enumerate(new):
+            f = int(first[c])
+            for i, (t, _, _) in enumerate(b.toks, b.ahead):
+                word = _linked(t)
+                if word:
+                    b.links.setdefault(word, []).append((i, kind[f + i], sure[f + i]))
+
+    def _open_edges(self, parts: list[tuple[Block, int]]) -> list[tuple[tuple, tuple, int]]:
+        """The skip edges of a text, none if each could but confirm what the chains say. An end: stretch, position, kind, whether sure."""
+        mentions: dict[str, list[tuple[int, int, int, bool]]] = {}
+        hot: dict[str, None] = {}
+        for n, (b, _) in enumerate(parts):
+            for word, places in b.links.items():
+                mine = mentions.setdefault(word, [])
+                for i, kind, sure in places:
+                    mine.append((n, i, kind, sure))
+                    if kind or not sure:
+                        hot[word] = None
+        edges: list[tuple[tuple, tuple, int]] = []
+        for word in hot:
+            mine = mentions[word]
+            edges += [(x, y, 0) for x, y in zip(mine, mine[1:])]
+            for other in _near(word, mentions):
+                if other not in hot or word < other:
+                    edges.append((mine[0], mentions[other][0], 1))
+        return edges if any(x[2] != y[2] or not (x[3] and y[3]) for x, y, _ in edges) else []
+
+    def _together(self, parts: list[list[tuple[Block, int]]], again: list[tuple[int, int]], edges: list) -> dict[tuple[int, int], list[tuple[str, int, int]]]:
+        """The items of the stretches (text, number) that have skip edges, labelled again by all of them."""
+        if not again:
+            return {}
+        blocks = [parts[k][n][0] for k, n in again]
+        lengths = np.array([len(b.types) for b in blocks])
+        ends = np.cumsum(lengths).tolist()
+        starts = {c: e - len(b.types) for c, e, b in zip(again, ends, blocks)}
+        u = skipchain.flat_unary(self.all_scores(), np.concatenate([b.types for b in blocks]), lengths)
+        pairs = np.array([(starts[x[:2]] + x[2], starts[y[:2]] + y[2]) for x, y, _ in edges])
+        labels = skipchain.decode(self.model, u, lengths, pairs, np.array([sort for _, _, sort in edges])).tolist()
+        return {c: spans(b.toks, labels[starts[c] + b.ahead : e]) for c, e, b in zip(again, ends, blocks)}
+
+
+def _linked(t: str) -> str | None:
+    """What a token is joined by to others of its document: a capitalised word as it is folded."""
+    if t[0] in BREAK + LINE:
+        t = t[1:]
+    if len(t) >= LINKED and t[0].isalpha() and t[0].isupper():
+        low = _fold(t)
+        return None if low in PARTICLES or low in TITLES else low
+    return None
+
+
+def _near(word: str, others: dict[str, list]) -> list[str]:
+    """Words of the document that read nearly so: one edit apart, or one part of a double name."""
+    parts = {p for p in word.split("-") if len(p) >= LINKED_TYPED} if "-" in word else ()
+    n, out = len(word), []
+    if n < LINKED_TYPED:
+        return out
+    for o in others:
+        # one edit leaves the first letter or the last one
+        if -1 <= len(o) - n <= 1 and (o[0] == word[0] or o[-1] == word[-1]) and len(o) >= LINKED_TYPED and o != word and banded_distance(word, o, 1) <= 1:
+            out.append(o)
+        elif parts and o in parts or "-" in o and word in o.split("-"):
+            out.append(o)
+    return out
+
+
+def spans(toks: list[Token], labels: list[int]) -> list[tuple[str, int, int]]:
+    """Labelled stretches of the tokens, each checked for the form that its kind must have."""
     out, i = [], 0
     while i < len(labels):
         if labels[i] == 0:
@@ -320,40 +454,47 @@ def spans(toks: list[Token], first: int, labels: list[int]) -> list[tuple[str, i
         inside = LABELS.index("I-" + kind)
         while j < len(labels) and labels[j] == inside:
             j += 1
-        a, b = first + i, first + j
-        while b - a > 1 and toks[b - 1][0] in ("\n", ",", ".", ":", ";", "|"):
+        a, b = i, j
+        types = [bare(t[0]) for t in toks[a:b]]
+        while b - a > 1 and types[b - a - 1][0] in ",.:;|<-(":
             b -= 1
-        if kind == "person_name":  # no name begins with a particle in small letters or a number
-            if toks[a][0] == "#code":
-                out.append(("id_number", toks[a][1], toks[a][2]))
-            while a < b - 1 and (toks[a][0] in PARTICLES or toks[a][0] == "#code"):
+        if kind == "person_name":  # no name begins with a title, a sign or a particle in small letters
+            while a < b - 1 and (_fold(types[a - i]) in TITLES or types[a - i] in PARTICLES or not (types[a - i][0].isalpha() or types[a - i] == "#init")):
                 a += 1
-            comma = next((k for k in range(a, b) if toks[k][0] == ","), None)
-            if comma and sum(t[0] == "#init" or t[0][0].isupper() for t in toks[comma + 1 : b]) > 1:
+            comma = next((k for k in range(a, b) if types[k - i][0] == ","), None)
+            if comma and sum(t == "#init" or t[0].isupper() for t in types[comma + 1 - i : b - i]) > 1:
                 a = comma + 1  # what stands before a whole name is no part of it
-            b = next((k for k in range(a + 1, b) if toks[k][0][0] in "#@" and toks[k][0] != "#init"), b)
-        around = [_fold(toks[k][0]) for k in (*range(max(0, a - 2), a), *range(b, min(len(toks), b + 2)))]
-        if _well_formed(kind, [t[0] for t in toks[a:b]], around):
+        if _well_formed(kind, [t[0] for t in toks[a:b]], _before(toks, a)):
             out.append((kind, toks[a][1], toks[b - 1][2]))
         i = j
     return out
 
 
-def _well_formed(kind: str, types: list[str], around: list[str]) -> bool:
-    """The exact check of a labelled span; a name next to the word of an organisation is part of that one's name."""
+def _before(toks: list[Token], a: int) -> list[str]:
+    """The two words before a token, as far as no mark-up parts them from it."""
+    out = []
+    while len(out) < 2 and a > 0 and toks[a][0][0] != BREAK:
+        a -= 1
+        out.append(_fold(bare(toks[a][0])))
+    return out
+
+
+def _well_formed(kind: str, types: list[str], before: list[str]) -> bool:
+    """The exact check of a labelled span; a name after the word of an organisation is part of that one's name."""
+    first = bare(types[0])
     if kind == "email":
-        return types == ["@mail"]
+        return len(types) == 1 and first[0] == "@" and len(first) > 1
     if kind == "phone":
-        return types[0] in ("#phone", "#plus")
+        return first[0] == "#" and first != "#init"
     if kind == "id_number":
-        return types[0] in ("#nine11", "#code", "#nine")
+        return first[0] in "#$" and first != "#init" and len(first) > 1
     if kind == "address":
-        return len(types) > 1 and any(STREET.search(t) for t in types) and any(t.startswith("#") for t in types[1:]) and _fold(types[0]) != "postbus"
-    return len(types) > 1 and any(t[0].isalpha() and t[0].isupper() and len(t) > 1 for t in types) and not any(w in ORGANISATION for w in around)
+        return len(types) > 1 and is_word(types[0]) and any(t[0] == "#" and t != "#init" for t in map(bare, types[1:])) and _fold(first) != "postbus"
+    return any(is_word(t) for t in types) and not any(_fold(bare(w)) in ORGANISATION for w in (*before, *types))
 
 
 def _pieces(y: list[int], around: int = 6, longest: int = 30) -> list[tuple[int, int]]:
-    """Ranges that hold each item and some tokens on either side; of what has no item the first tokens."""
+    """Ranges that hold each item and some tokens on either side; what has no item is cut to ranges as long."""
     marked = [i for i, g in enumerate(y) if g]
     if not marked:
         return [(a, min(len(y), a + longest)) for a in range(0, len(y), longest)]
@@ -365,53 +506,193 @@ def _pieces(y: list[int], around: int = 6, longest: int = 30) -> list[tuple[int,
         else:
             out.append((a, b))
     # a range doesn't begin or end within an item
-    return [(a - (y[a] % 2 == 0 and y[a] > 0), b) for a, b in out]
+    return [(max(0, a - (y[a] % 2 == 0 and y[a] > 0)), b) for a, b in out]
+
+
+_NAME = LABELS.index("B-person_name")
+Chain = tuple[int, list[str], list[int]]  # document, types, labels
+
+
+def _chance(*parts: object) -> float:
+    """A number from 0 to 1 that depends on the parts alone."""
+    return zlib.crc32(repr(parts).encode()) / 2**32
+
+
+def _told(types: list[str], y: list[int], i: int) -> bool:
+    """Whether a field's mark stands before the name that goes on at i."""
+    while i and y[i] == _NAME + 1:
+        i -= 1
+    return types[i][0] == BREAK or i > 0 and types[i - 1] == ":"
+
+
+def varied(chains: list[Chain]) -> tuple[list[Chain], int]:
+    """The chains and copies of them that hold what the weak labels can't know, and the number of documents then.
+
+    Of each chain without items that has a number of nine digits: one in which this passes the eleven test. Of each with
+    a name: three in which words of the name are such as no text has, one of them without the mark before it; if a title stands before it, one with the surname
+    alone; and, as a document of its own, the chain followed by a chain without items in which the surname, as it is
+    or with a letter lost, stands for a capitalised word.
+    """
+    out = list(chains)
+    plain = [(t, y) for _, t, y in chains if not any(y) and any(is_word(x) for x in t[1:])]
+    documents = 1 + max((c[0] for c in chains), default=-1)
+    for n, (_, types, y) in enumerate(chains):
+        passing = [t + ":eleven" if re.match(r"#[01]:9:[^:]*$", bare(t)) else t for t in types]
+        if not any(y) and passing != types:
+            out.append((documents, passing, y))
+            documents += 1
+        if _NAME not in y:
+            continue
+        # a name in reverse order among other words is told from a list of words by its first name alone, which then stays
+        turned = {i + 1 for i, t in enumerate(types) if t[0] == "," and len(t) > 1 and y[i] and not _told(types, y, i)}
+        for k, share in enumerate((1.0, 1.0, 0.5)):
+            hidden = [unseen(t) if g in (_NAME, _NAME + 1) and is_word(t) and i not in turned and _chance(n, k, i) < share else t for i, (t, g) in enumerate(zip(types, y))]
+            hidden = ["," + unseen(t[1:]) if g and t[0] == "," and len(t) > 1 and hidden[i + 1][0] == "?" else t for i, (t, g) in enumerate(zip(hidden, y))]
+            a = y.index(_NAME)
+            if k == 0 and a and hidden[a][0] in BREAK + LINE:  # the mark before the name is not always there
+                sign = [":"] if hidden[a][0] == BREAK and hidden[a - 1][0].isalpha() or is_word(hidden[a - 1]) else []
+                hidden, labels = [*hidden[:a], *sign, hidden[a][1:], *hidden[a + 1 :]], [*y[:a], *[0] * len(sign), *y[a:]]
+                if hidden[a - 1] == ",":
+                    hidden[a - 1] = "," + hidden[a]
+                out.append((documents, hidden, labels))
+            else:
+                out.append((documents, hidden, y))
+            documents += 1
+        a = y.index(_NAME)
+        b = a + 1
+        while b < len(y) and y[b] == _NAME + 1:
+            b += 1
+        if any(t[0] == "," for t in types[a:b]) or not is_word(types[b - 1]):
+            continue
+        surname = bare(types[b - 1])
+        before = _fold(bare(types[a - 1])) if a else ""
+        if a > 1 and before == ".":
+            before = _fold(bare(types[a - 2]))
+        if before in TITLES and a:
+            for word in (surname, unseen(surname)):
+                out.append((documents, [*types[:a], word, *types[b:]], [*y[:a], _NAME, *y[b:]]))
+                documents += 1
+        if plain and len(surname) >= LINKED_TYPED:
+            other, none = plain[int(_chance(n, "other") * len(plain))]
+            places = [i for i, t in enumerate(other) if i and is_word(t)]
+            i = places[int(_chance(n, "place") * len(places))]
+            word = surname
+            if _chance(n, "typed") < 0.4:
+                k = 1 + int(_chance(n, "letter") * (len(surname) - 1))
+                word = surname[:k] + surname[k + 1 :]
+            mark = other[i][0] if other[i][0] in BREAK + LINE else ""
+            out.append((documents, types, y))
+            out.append((documents, [*other[:i], mark + word, *other[i + 1 :]], [*none[:i], _NAME, *none[i + 1 :]]))
+            documents += 1
+    return out, documents
+
+
+def skip_edges(chains: list[Chain]) -> list[tuple[int, int, int, int, int]]:
+    """Chain, position, chain, position, sort of the skip edges of all documents."""
+    documents: dict[int, dict[str, list[tuple[int, int]]]] = {}
+    for c, (d, types, _) in enumerate(chains):
+        words = documents.setdefault(d, {})
+        for i, t in enumerate(types):
+            word = _linked(t)
+            if word:
+                words.setdefault(word, []).append((c, i))
+    out = []
+    for words in documents.values():
+        for word, places in words.items():
+            out += [(*x, *y, 0) for x, y in zip(places, places[1:])]
+            out += [(*places[0], *words[o][0], 1) for o in _near(word, words) if word < o]
+    return out
 
 
-def fit_finder(texts: list[str], contact_names: list[str]) -> Finder:
-    """Fit to unlabelled texts with the help of contact names."""
-    first_names: dict[str, int] = {}
+def known_first_names(contact_names: list[str]) -> set[str]:
+    """First names that two contacts or more have."""
+    seen: dict[str, int] = {}
     for name in contact_names:
-        words = [t[0] for t in tokens(name)]
-        if len(words) > 2 and words[1] == ",":
+        words = [bare(t[0]) for t in tokens(name)]
+        if len(words) > 2 and words[1][0] == ",":
             words = words[2:] + words[:1]
         if len(words) > 1 and words[0][0].isalpha() and len(words[0]) > 2 and fold(words[0]) not in PARTICLES | TITLES:
-            first_names[fold(words[0])] = first_names.get(fold(words[0]), 0) + 1
-    names = {n for n, k in first_names.items() if k > 1}
-    types: dict[str, int] = {}
-    chains, gold, seen = [], [], {}
-    for text in texts:
+            seen[fold(words[0])] = seen.get(fold(words[0]), 0) + 1
+    return {n for n, k in seen.items() if k > 1}
+
+
+def fit_finder(texts: list[str | tuple[str, str | None]], contact_names: list[str], no_people: list[str] = (), rounds: int = 80) -> Finder:
+    """Fit to unlabelled texts with the help of contact names. texts: each alone or with the contact name of its record; no_people: names of clients and places, titles."""
+    names = known_first_names(contact_names)
+    cut: list[tuple[int, list[str], list[int]]] = []
+    often: dict[str, int] = {}
+    for d, text in enumerate(texts):
+        text, contact = (text, None) if isinstance(text, str) else text
+        own = frozenset(_fold(bare(t[0])) for t in tokens(contact or "") if is_word(t[0]))
+        context: tuple[list[str], list[int]] = [], []
         for m in _BLOCK.finditer(text):
             toks = tokens(m[0])
-            y = weak_spans(toks, names)
-            if not any(y) and not _LIKE.search(m[0]):
-                continue
-            for a, b in _pieces(y):
-                shape = " ".join("X" if t[0].isupper() and not g else t if not g else LABELS[g] for (t, _, _), g in zip(toks[a:b], y[a:b]))
-                seen[shape] = seen.get(shape, 0) + 1
-                if seen[shape] <= ALIKE:
-                    chains.append([types.setdefault(t[0], len(types)) for t in toks[a:b]])
-                    gold.append(y[a:b])
-    # all chains with items and as many without
-    with_items = [i for i, g in enumerate(gold) if any(g)]
-    without = [i for i, g in enumerate(gold) if not any(g)]
-    most = 2000
-    with_items = with_items[:: max(1, len(with_items) // 3000)]
-    keep = with_items + without[:: max(1, len(without) // most)]
-    model = skipchain.fit([chains[i] for i in keep], [gold[i] for i in keep], [type_features(t, names) for t in types], LABELS)
+            mine, labels = [t[0] for t in toks], weak_spans(toks, names, own)
+            types, y = context[0] + mine, context[1] + labels
+            context = (mine[-2:], labels[-2:]) if mine else context
+            for t in types:
+                often[t] = often.get(t, 0) + 1
+            if not _doubtful(types, y):
+                cut += [(d, types[a:b], y[a:b]) for a, b in _pieces(y) if b > a]
+    chains: list[Chain] = []
+    seen: dict[str, int] = {}
+    for d, types, y in cut:
+        # capitalised words that are rare count as one
+        shape = " ".join((LABELS[g] if g else "") + ("X" if bare(t)[0].isupper() and (g or often[t] < OFTEN) else t) for t, g in zip(types, y))
+        seen[shape] = seen.get(shape, 0) + 1
+        if seen[shape] <= (ALIKE if any(y) else ALIKE_WITHOUT):
+            chains.append((d, types, y))
+    for d, name in enumerate(no_people, len(texts)):
+        types = [t[0] for t in tokens(name)]
+        if types and not any(weak_spans(tokens(name), names)):
+            chains.append((d, types, [0] * len(types)))
+    with_items = [c for c in chains if any(c[2])]
+    without = sorted((c for c in chains if not any(c[2])), key=lambda c: (not any(map(_like_item, c[1])), _chance(c[1])))[:WITHOUT]
+    step = max(1, -(-len(with_items) // WITH_ITEMS))
+    kept, _ = varied(sorted(with_items[::step] + without, key=lambda c: c[0]))
+    types: dict[str, int] = {}
+    coded = [[types.setdefault(t, len(types)) for t in c[1]] for c in kept]
+    model = skipchain.fit(coded, [c[2] for c in kept], [type_features(t, names) for t in types], LABELS, skip_edges(kept), rounds)
     return Finder(model, names)
 
 
+def _like_item(t: str) -> bool:
+    t = bare(t)
+    return t[0] in "#@$" and len(t) > 1 and not re.match(r"#1:[123]:$", t)
+
+
+def _doubtful(types: list[str], y: list[int]) -> bool:
+    """Whether a capitalised word without a label stands after a title, which may be a name that the weak labels don't know."""
+    for i, t in enumerate(types[:-1]):
+        if _fold(bare(t)) in TITLES:
+            j = i + 1 + (types[i + 1] == ".")
+            if j < len(types) and is_word(types[j]) and not y[j] and _fold(bare(types[j])) not in TITLES:
+                return True
+    return False
+
+
 def training_finder(snippets: DataFrame, pages: DataFrame, records: DataFrame, most: int = TRAIN_TEXTS) -> Finder:
-    """Fit to the first ``most`` texts of each table (a quarter as many pages) in the order of a hash."""
+    """Fit to the first ``most`` texts of each table (a quarter as many pages) in the order of a hash; of an id with several texts the least."""
+
+    def some(df: DataFrame, key: str, column: str, n: int) -> list:
+        one = df.where(F.col(column).isNotNull()).select(F.col(key).alias("_k"), F.col(column).alias("_c")).where("_k is not null")
+        ids = [r[0] for r in one.select("_k").distinct().orderBy(F.xxhash64("_k"), "_k").limit(n).collect()]
+        return sorted(one.where(F.col("_k").isin(ids)).groupBy("_k").agg(F.min("_c").alias("_c")).collect()) if ids else []
+
+    contact = lambda k: records.select("id", "raw_opportunity_id", F.col(f"contact_information.{k}").alias(k))
+    contacts = lambda k: [r[1] for r in some(contact(k), "id", k, 4 * most if k == "name" else most)]
+    some_pages = some(pages, "id", "raw_content", most // 4)
+    own = {}
+    if some_pages:
+        mine = contact("name").where(F.col("raw_opportunity_id").isin([r[0] for r in some_pages]))
+        own = dict(mine.groupBy("raw_opportunity_id").agg(F.min("name")).collect())  # a row for each of the pages
+    texts = [r[1] for r in some(snippets, "snippet_id", "text", most)] + [(r[1], own.get(r[0])) for r in some_pages] + contacts("email") + contacts("phone")
+    values = lambda c: [r[1] for r in some(records, "id", c, most)]
+    return fit_finder(texts, contacts("name"), values("client_name") + values("location") + values("title"))
 
-    def some(df: DataFrame, key: str, column: str, n: int) -> list[str]:
-        ids = [r[0] for r in df.select(key).where(F.col(column).isNotNull()).distinct().orderBy(F.xxhash64(key)).limit(n).collect()]
-        return [r[1] for r in sorted(df.where(F.col(key).isin(ids)).select(key, column).distinct().collect())] if ids else []
 
-    contacts = lambda k: some(records.select("id", F.col(f"contact_information.{k}").alias(k)), "id", k, 4 * most if k == "name" else most)
-    texts = some(snippets, "snippet_id", "text", most) + some(pages, "id", "raw_content", most // 4) + contacts("email") + contacts("phone")
-    return fit_finder(texts, contacts("name"))
+#: Texts labelled together: stretches of like length of all of them are summed at once.
+TOGETHER = 400
 
 
 def found_items(fields: list[tuple[str, DataFrame]], finder: Finder) -> DataFrame:
@@ -427,8 +708,8 @@ def found_items(fields: list[tuple[str, DataFrame]], finder: Finder) -> DataFram
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Finder(*shared.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
                 items = own.find(part.column(2).to_pylist())
                 values = pa.array([[{"kind": a, "start": b, "end": c} for a, b, c in x] for x in items], pa.list_(item))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), values], schema=schema)

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field as data_field
 from functools import lru_cache
@@ -48,6 +49,8 @@ WITH_ITEMS, WITHOUT = 4000, 7000
 SURE = 0.999
 #: Letters of words that skip edges join: equal words, and words one edit apart.
 LINKED, LINKED_TYPED = 3, 5
+#: Stretches that a worker remembers, if they are short, before it forgets them all (about 100 MB).
+REMEMBERED = 200_000
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
 #: Marks of a token's type: mark-up, or the end of a line, stands before it.
@@ -66,22 +69,50 @@ _AT = r"(?:\s?@\s?|&#0*64;|&#x0*40;|&commat;|&#0*9;|\s?[\[(]\s?(?:at|apenstaartj
 _DOT = r"(?:\.|&#0*46;|&period;|\s?[\[(]\s?(?:dot|punt)\s?[\])]\s?)"
 _MAIL = rf"[^\W_][\w.+%-]*{_AT}[^\W_][\w-]*(?:{_DOT}[\w-]+)*"
 _NUMBER = r"(?:\+|\(\+?)?\d(?:\d|\)?[ .\-]{1,3}(?=\d)|[ ]?\(0\)[ \-]?(?=\d)|\)(?=\d))*"
-_TOKEN = re.compile(
-    rf"(?P<email>{_MAIL})"
-    r"|(?P<tag></?[a-zA-Z!](?![^>]*(?:mailto:|@|tel:|&#|&commat|[\[(]\s?(?:at|apenstaartje)\s?[\])]))[^<>]*>)"
+_OTHERS = (
     r"|(?P<entity>&#?\w+;)"
     r"|(?P<code>\b(?=[A-Za-z]*\d)(?=\d*[A-Za-z])[A-Za-z0-9]{6,20}\b)"
     rf"|(?P<number>{_NUMBER})(?P<suffix>(?:[a-zA-Z]|[ -]?(?:bis|[IVX]{{1,4}}|[A-Z]))\b(?![\w@]|\.\w))?"
-    r"|(?P<initial>(?:[^\W\d_]\.[ ]?)+(?=[ ]?[^\W\d_]|[,<\s)]|$))"
-    r"|(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+|&[a-zA-Z]+;[^\W\d_]*|&#\d+;[^\W\d_]+)*)"
     r"|(?P<line>\n)|(?P<sign>[^\s\w])|(?P<rest>\w+)"
 )
+_WORDS = (
+    r"(?P<initial>(?:[^\W\d_]\.[ ]?)+(?=[ ]?[^\W\d_]|[,<\s)]|$))"
+    r"|(?P<word>(?>[^\W\d_]+(?:['’-][^\W\d_]+|&[a-zA-Z]+;[^\W\d_]*|&#\d+;[^\W\d_]+)*)(?![\d_]))"
+)
+#: The first pattern is for stretches in which an address with an at sign, however written, can stand.
+_TOKEN = re.compile(
+    rf"(?P<email>{_MAIL})"
+    r"|(?P<tag></?[a-zA-Z!](?![^>]*(?:mailto:|@|tel:|&#|&commat|[\[(]\s?(?:at|apenstaartje)\s?[\])]))[^<>]*>)"
+    rf"|{_WORDS}{_OTHERS}"
+)
+_PLAIN = re.compile(rf"{_WORDS}|(?P<tag></?[a-zA-Z!][^<>]*>){_OTHERS}")
 _BLOCK = re.compile(r"[^\n]+(?:(?<![>.:;])\n(?![<\s•*\-])[^\n]+)*")
+#: The end of a sentence within such a stretch: not after a short word, which may be a title or an abbreviation.
+_SENTENCE = re.compile(r"(?<=[a-zß-öø-ÿ]{5}[.?!])\s+(?=[^\W\d_a-zß-öø-ÿ])")
 
 
 Token = tuple[str, int, int]  # type, start, end
 
 
+def stretches(text: str) -> Iterator[tuple[int, str]]:
+    """Start and text of the lines and sentences, each of which is a chain; a line that goes on in the next one is one with it."""
+    for m in _BLOCK.finditer(text):
+        line, at = m[0], m.start()
+        if len(line) < 80:
+            yield at, line
+            continue
+        a = 0
+        for end in _SENTENCE.finditer(line):
+            yield at + a, line[a : end.start()]
+            a = end.end()
+        yield at + a, line[a:] if a else line
+
+
+def context_of(types: list) -> int:
+    """How many of the last types of a stretch the next one has as context: the last one, and what stands before a colon."""
+    return 2 if len(types) > 1 and types[-1] == ":" else 1
+
+
 def elevenproof(digits: str) -> bool:
     return len(digits) == 9 and sum(int(d) * w for d, w in zip(digits, (9, 8, 7, 6, 5, 4, 3, 2, -1))) % 11 == 0 and len(set(digits)) > 1
 
@@ -125,7 +156,8 @@ def tokens(text: str, base: int = 0) -> list[Token]:
     out: list[Token] = []
     add = out.append
     mark = ""
-    for m in _TOKEN.finditer(text):
+    rich = "@" in text or "&" in text or "(" in text or "[" in text or "mailto:" in text or "tel:" in text
+    for m in (_TOKEN if rich else _PLAIN).finditer(text):
         kind, a, b = m.lastgroup, base + m.start(), base + m.end()
         if kind == "tag":
             mark = BREAK
@@ -279,16 +311,17 @@ def weak_spans(toks: list[Token], first_names: set[str], own: frozenset[str] = f
     return y
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    """A stretch of a text: its tokens (from its start) and types, what its chain alone makes of it."""
+    """A stretch of a text: where its tokens stand in it and their types, what its chain alone makes of it."""
 
-    toks: list[Token]
-    types: np.ndarray  # with those of the context first
+    starts: array  # of the tokens
+    ends: array
+    types: np.ndarray | list[int]  # with those of the context first
     ahead: int  # tokens of the context
-    items: list[tuple[str, int, int]]
-    links: dict[str, list[tuple[int, int, bool]]]  # of a word: position in the chain, its likeliest kind, whether that is sure
     after: tuple[int, ...]  # types that the next stretch has as context
+    items: list[tuple[str, int, int]] = data_field(default_factory=list)
+    hot: list[tuple[int, int, int, bool]] = data_field(default_factory=list)  # linked words that may be of an item: word, position, likeliest kind, whether that is sure
 
 
 @dataclass
@@ -301,8 +334,13 @@ class Finder:
     types: dict[str, int] = data_field(default_factory=dict)
     names: list[str] = data_field(default_factory=list)
     scores: list[np.ndarray] = data_field(default_factory=list)
+    word_of: list[int] = data_field(default_factory=list)  # of each type: number of the word that skip edges join it by, or -1
+    words: dict[str, int] = data_field(default_factory=dict)
+    shapes: list[tuple[int, int, bool]] = data_field(default_factory=list)  # of each word: length, letters, whether it is double
     known: dict[tuple, Block] = data_field(default_factory=dict)
-    _scores: np.ndarray | None = None
+    cut: dict[str, tuple] = data_field(default_factory=dict)  # of a stretch: tokens, types, context of the next one
+    near: dict[tuple[int, int], bool] = data_field(default_factory=dict)
+    _arrays: tuple | None = None
 
     def type_id(self, t: str) -> int:
         i = self.types.get(t)
@@ -310,47 +348,67 @@ class Finder:
             i = self.types[t] = len(self.scores)
             self.names.append(t)
             self.scores.append(self.model.type_scores(type_features(t, self.first_names)))
+            word = _linked(t)
+            self.word_of.append(-1 if word is None else self.words.setdefault(word, len(self.words)))
+            if len(self.shapes) < len(self.words):
+                letters = 0
+                for c in word:
+                    letters |= 1 << (ord(c) & 63)
+                self.shapes.append((len(word), letters, "-" in word))
         return i
 
-    def all_scores(self) -> np.ndarray:
-        if self._scores is None or len(self._scores) != len(self.scores):
-            self._scores = np.stack(self.scores)
-        return self._scores
+    def toks(self, b: Block) -> list[Token]:
+        return [(self.names[t], a, z) for t, a, z in zip(b.types[b.ahead :].tolist(), b.starts, b.ends)]
+
+    def arrays(self) -> tuple:
+        """The scores and words of all types; the spellings of all words, their lengths, letters (a bit each) and whether they are double."""
+        if self._arrays is None or len(self._arrays[0]) != len(self.scores):
+            spelled = list(self.words)
+            self._arrays = np.stack(self.scores), np.array(self.word_of), spelled, np.array(self.shapes, dtype=np.uint64).reshape(-1, 3)
+        return self._arrays
 
     def find(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """Of each text its items: kind, start, end (code points)."""
-        if len(self.types) > 300_000 or len(self.known) > 60_000:
-            self.types, self.names, self.scores, self.known, self._scores = {}, [], [], {}, None
-        parts: list[list[tuple[Block, int]]] = [[] for _ in texts]  # of each text its stretches and where they begin
+        if len(self.types) > 300_000 or len(self.known) > REMEMBERED or len(self.near) > 2_000_000:
+            self.types, self.names, self.scores, self.word_of, self.words, self.shapes = {}, [], [], [], {}, []
+            self.known, self.cut, self.near, self._arrays = {}, {}, {}, None
+        parts: list[list[tuple[Block, int]]] = []  # of each text its stretches and where they begin
         new: list[Block] = []
-        for k, text in enumerate(texts):
-            if not text:
-                continue
+        known, cut, ids = self.known, self.cut, self.types
+        for text in texts:
+            own: list[tuple[Block, int]] = []
+            parts.append(own)
             context: tuple[int, ...] = ()
-            for m in _BLOCK.finditer(text):
-                key = (context, m[0])
-                block = self.known.get(key)
+            for at, stretch in stretches(text or ""):
+                block = known.get((context, stretch))
                 if block is None:
-                    toks = tokens(m[0])
-                    own = [self.type_id(t[0]) for t in toks]
-                    block = Block(toks, np.array([*context, *own], dtype=np.int32), len(context), [], {}, tuple(own[-2:]) or context)
-                    if toks:
+                    got = cut.get(stretch)
+                    if got is None:
+                        toks = tokens(stretch)
+                        mine = [ids[t[0]] if t[0] in ids else self.type_id(t[0]) for t in toks]
+                        got = array("i", [t[1] for t in toks]), array("i", [t[2] for t in toks]), mine, tuple(mine[-context_of([t[0] for t in toks]) :])
+                        if len(stretch) <= 400:
+                            cut[stretch] = got
+                    starts, ends, mine, after = got
+                    block = Block(starts, ends, [*context, *mine], len(context), after or context)
+                    if mine:
                         new.append(block)
-                    if len(m[0]) <= 400:
-                        self.known[key] = block
-                if block.toks:
-                    parts[k].append((block, m.start()))
+                    if len(stretch) <= 400:
+                        known[(context, stretch)] = block
+                if block.starts:
+                    own.append((block, at))
                 context = block.after
         self._alone(new)
         edges, again = [], []
         for k, own in enumerate(parts):
             mine = self._open_edges(own)
-            edges += [((k, *x[:2]), (k, *y[:2]), sort) for x, y, sort in mine]
-            again += sorted({(k, e[0]) for x, y, _ in mine for e in (x, y)})
+            if mine:
+                edges += [((k, *x[:2]), (k, *y[:2]), sort) for x, y, sort in mine]
+                again += sorted({(k, e[0]) for x, y, _ in mine for e in (x, y)})
         items = self._together(parts, again, edges)
         out = []
         for k, own in enumerate(parts):
-            found = {(kind, at + a, at + z) for n, (b, at) in enumerate(own) for kind, a, z in items.get((k, n), b.items)}
+            found = {(kind, at + a, at + z) for n, (b, at) in enumerate(own) for kind, a, z in (items.get((k, n), b.items) if items else b.items)}
             out.append(sorted(found, key=lambda x: (x[1], x[0])))
         return out
 
@@ -358,51 +416,85 @@ class Finder:
         """What the chain alone makes of each stretch."""
         if not new:
             return
+        scores, word_of, _, _ = self.arrays()
         lengths = np.array([len(b.types) for b in new])
-        types = np.concatenate([b.types for b in new])
-        u = skipchain.flat_unary(self.all_scores(), types, lengths)
+        types = np.array([t for b in new for t in b.types], dtype=np.int32)
+        first = np.cumsum(lengths) - lengths
+        for b, f, n in zip(new, first.tolist(), lengths.tolist()):
+            b.types = types[f : f + n].copy()
+        u = skipchain.flat_unary(scores, types, lengths)
         p = skipchain.chain_marginals(self.model, u, lengths)
         kinds = self.model.kind_of
         by_kind = np.stack([p[:, kinds == k].sum(axis=1) for k in range(kinds.max() + 1)], axis=1)
         kind, sure = by_kind.argmax(axis=1), by_kind.max(axis=1) >= self.sure
-        first = np.cumsum(lengths) - lengths
-        open_ = np.logical_or.reduceat((kind > 0) | ~sure, first)
+        maybe = (kind > 0) | ~sure
+        open_ = np.logical_or.reduceat(maybe, first)
         at = np.flatnonzero(open_)
         if len(at):
-            inside = np.repeat(open_, lengths)
-            labels = skipchain.best_labels(self.model, u[inside], lengths[at])
+            labels = skipchain.best_labels(self.model, u[np.repeat(open_, lengths)], lengths[at]).tolist()
             ends = np.cumsum(lengths[at])
             for c, e in zip(at.tolist(), ends.tolist()):
                 b = new[c]
-                b.items = spans(b.toks, labels[e - lengths[c] + b.ahead : e].tolist())
-        kind, sure = kind.tolist(), sure.tolist()
-        for c, b in enumerate(new):
-            f = int(first[c])
-            for i, (t, _, _) in enumerate(b.toks, b.ahead):
-                word = _linked(t)
-                if word:
-                    b.links.setdefault(word, []).append((i, kind[f + i], sure[f + i]))
+                b.items = spans(self.toks(b), labels[e - lengths[c] + b.ahead : e])
+        chain = np.repeat(np.arange(len(new)), lengths)
+        word = word_of[types]
+        for i in np.flatnonzero(maybe & (word >= 0)).tolist():
+            c = int(chain[i])
+            b, place = new[c], i - int(first[c])
+            if place >= b.ahead:
+                b.hot.append((int(word[i]), place, int(kind[i]), bool(sure[i])))
 
     def _open_edges(self, parts: list[tuple[Block, int]]) -> list[tuple[tuple, tuple, int]]:
-        """The skip edges of a text, none if each could but confirm what the chains say. An end: stretch, position, kind, whether sure."""
-        mentions: dict[str, list[tuple[int, int, int, bool]]] = {}
-        hot: dict[str, None] = {}
+        """The skip edges of a text that can change something. An end: stretch, position, kind, whether sure.
+
+        Words none of whose mentions may be of an item have no edges, as these could but confirm that.
+        """
+        hot: dict[int, dict[tuple[int, int], tuple[int, bool]]] = {}
         for n, (b, _) in enumerate(parts):
-            for word, places in b.links.items():
-                mine = mentions.setdefault(word, [])
-                for i, kind, sure in places:
-                    mine.append((n, i, kind, sure))
-                    if kind or not sure:
-                        hot[word] = None
+            for word, i, kind, sure in b.hot:
+                hot.setdefault(word, {})[(n, i)] = (kind, sure)
+        if not hot:
+            return []
+        _, word_of, _, _ = self.arrays()
+        own = [b.types[b.ahead :] for b, _ in parts]
+        lengths = np.array([len(x) for x in own])
+        words = word_of[np.concatenate(own)]
+        stretch = np.repeat(np.arange(len(own)), lengths)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        here = np.unique(words[words >= 0])
+        alike = self._near(list(hot), here)
+        wanted = set(hot).union(*alike.values())
+        mentions: dict[int, list[tuple[int, int, int, bool]]] = {w: [] for w in wanted}
+        for i in np.flatnonzero(np.isin(words, list(wanted))).tolist():
+            w, n = int(words[i]), int(stretch[i])
+            at = (n, int(place[i]) + parts[n][0].ahead)
+            mentions[w].append((*at, *hot.get(w, {}).get(at, (0, True))))
         edges: list[tuple[tuple, tuple, int]] = []
-        for word in hot:
-            mine = mentions[word]
+        for w in hot:
+            mine = mentions[w]
             edges += [(x, y, 0) for x, y in zip(mine, mine[1:])]
-            for other in _near(word, mentions):
-                if other not in hot or word < other:
-                    edges.append((mine[0], mentions[other][0], 1))
+            edges += [(mine[0], mentions[o][0], 1) for o in alike[w] if o not in hot or w < o]
         return edges if any(x[2] != y[2] or not (x[3] and y[3]) for x, y, _ in edges) else []
 
+    def _near(self, hot: list[int], here: np.ndarray) -> dict[int, list[int]]:
+        """Of each hot word the words here that read nearly so."""
+        _, _, spelled, shape = self.arrays()
+        mine, these = shape[hot][:, None, :], shape[here][None, :, :]
+        # one edit changes the length by one and the set of letters by two at most; a double name has the letters of its parts
+        other = mine[..., 1] ^ these[..., 1]
+        may = (np.maximum(mine[..., 0], these[..., 0]) - np.minimum(mine[..., 0], these[..., 0]) <= 1) & (np.bitwise_count(other) <= 2)
+        may |= (these[..., 2] > 0) & (mine[..., 1] & ~these[..., 1] == 0) | (mine[..., 2] > 0) & (these[..., 1] & ~mine[..., 1] == 0)
+        out: dict[int, list[int]] = {w: [] for w in hot}
+        rows, columns = np.nonzero(may)
+        for w, o in zip(np.array(hot)[rows].tolist(), here[columns].tolist()):
+            key = (w, o) if w < o else (o, w)
+            close = self.near.get(key)
+            if close is None:
+                close = self.near[key] = reads_nearly(spelled[w], spelled[o])
+            if close:
+                out[w].append(o)
+        return out
+
     def _together(self, parts: list[list[tuple[Block, int]]], again: list[tuple[int, int]], edges: list) -> dict[tuple[int, int], list[tuple[str, int, int]]]:
         """The items of the stretches (text, number) that have skip edges, labelled again by all of them."""
         if not again:
@@ -411,10 +503,10 @@ class Finder:
         lengths = np.array([len(b.types) for b in blocks])
         ends = np.cumsum(lengths).tolist()
         starts = {c: e - len(b.types) for c, e, b in zip(again, ends, blocks)}
-        u = skipchain.flat_unary(self.all_scores(), np.concatenate([b.types for b in blocks]), lengths)
+        u = skipchain.flat_unary(self.arrays()[0], np.concatenate([b.types for b in blocks]), lengths)
         pairs = np.array([(starts[x[:2]] + x[2], starts[y[:2]] + y[2]) for x, y, _ in edges])
         labels = skipchain.decode(self.model, u, lengths, pairs, np.array([sort for _, _, sort in edges])).tolist()
-        return {c: spans(b.toks, labels[starts[c] + b.ahead : e]) for c, e, b in zip(again, ends, blocks)}
+        return {c: spans(self.toks(b), labels[starts[c] + b.ahead : e]) for c, e, b in zip(again, ends, blocks)}
 
 
 def _linked(t: str) -> str | None:
@@ -427,19 +519,11 @@ def _linked(t: str) -> str | None:
     return None
 
 
-def _near(word: str, others: dict[str, list]) -> list[str]:
-    """Words of the document that read nearly so: one edit apart, or one part of a double name."""
-    parts = {p for p in word.split("-") if len(p) >= LINKED_TYPED} if "-" in word else ()
-    n, out = len(word), []
-    if n < LINKED_TYPED:
-        return out
-    for o in others:
-        # one edit leaves the first letter or the last one
-        if -1 <= len(o) - n <= 1 and (o[0] == word[0] or o[-1] == word[-1]) and len(o) >= LINKED_TYPED and o != word and banded_distance(word, o, 1) <= 1:
-            out.append(o)
-        elif parts and o in parts or "-" in o and word in o.split("-"):
-            out.append(o)
-    return out
+def reads_nearly(a: str, b: str) -> bool:
+    """Whether two words are one edit apart, or one is a part of the other, a double name."""
+    if a == b or min(len(a), len(b)) < LINKED_TYPED:
+        return False
+    return banded_distance(a, b, 1) <= 1 or "-" in a and b in a.split("-") or "-" in b and a in b.split("-")
 
 
 def spans(toks: list[Token], labels: list[int]) -> list[tuple[str, int, int]]:
@@ -600,7 +684,7 @@ def skip_edges(chains: list[Chain]) -> list[tuple[int, int, int, int, int]]:
     for words in documents.values():
         for word, places in words.items():
             out += [(*x, *y, 0) for x, y in zip(places, places[1:])]
-            out += [(*places[0], *words[o][0], 1) for o in _near(word, words) if word < o]
+            out += [(*places[0], *words[o][0], 1) for o in words if word < o and abs(len(o) - len(word)) < 2 + 20 * ("-" in o + word) and reads_nearly(word, o)]
     return out
 
 
@@ -625,11 +709,12 @@ def fit_finder(texts: list[str | tuple[str, str | None]], contact_names: list[st
         text, contact = (text, None) if isinstance(text, str) else text
         own = frozenset(_fold(bare(t[0])) for t in tokens(contact or "") if is_word(t[0]))
         context: tuple[list[str], list[int]] = [], []
-        for m in _BLOCK.finditer(text):
-            toks = tokens(m[0])
+        for _, stretch in stretches(text):
+            toks = tokens(stretch)
             mine, labels = [t[0] for t in toks], weak_spans(toks, names, own)
             types, y = context[0] + mine, context[1] + labels
-            context = (mine[-2:], labels[-2:]) if mine else context
+            n = context_of(mine)
+            context = (mine[-n:], labels[-n:]) if mine else context
             for t in types:
                 often[t] = often.get(t, 0) + 1
             if not _doubtful(types, y):
@@ -674,21 +759,34 @@ def _doubtful(types: list[str], y: list[int]) -> bool:
 def training_finder(snippets: DataFrame, pages: DataFrame, records: DataFrame, most: int = TRAIN_TEXTS) -> Finder:
     """Fit to the first ``most`` texts of each table (a quarter as many pages) in the order of a hash; of an id with several texts the least."""
 
-    def some(df: DataFrame, key: str, column: str, n: int) -> list:
-        one = df.where(F.col(column).isNotNull()).select(F.col(key).alias("_k"), F.col(column).alias("_c")).where("_k is not null")
-        ids = [r[0] for r in one.select("_k").distinct().orderBy(F.xxhash64("_k"), "_k").limit(n).collect()]
-        return sorted(one.where(F.col("_k").isin(ids)).groupBy("_k").agg(F.min("_c").alias("_c")).collect()) if ids else []
-
-    contact = lambda k: records.select("id", "raw_opportunity_id", F.col(f"contact_information.{k}").alias(k))
-    contacts = lambda k: [r[1] for r in some(contact(k), "id", k, 4 * most if k == "name" else most)]
-    some_pages = some(pages, "id", "raw_content", most // 4)
+    def some(df: DataFrame, key: str, n: int, *columns: str) -> list:
+        """Rows key, columns: of an id with several rows the least."""
+        ids = [r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(n).collect()]
+        if not ids:
+            return []
+        return sorted((r[0], *r[1]) for r in df.where(F.col(key).isin(ids)).groupBy(key).agg(F.min(F.struct(*columns))).collect())
+
+    own_columns = ["raw_opportunity_id", *(F.col(f"contact_information.{k}").alias(k) for k in ("name", "email", "phone")), "client_name", "location", "title"]
+    flat = records.select("id", *own_columns)
+    some_records = some(flat, "id", 4 * most, "name", "email", "phone", "client_name", "location", "title")
+    values = lambda i, n: [r[i] for r in some_records if r[i]][:n]
+    some_pages = [r for r in some(pages, "id", most // 4, "raw_content") if r[1]]
     own = {}
     if some_pages:
-        mine = contact("name").where(F.col("raw_opportunity_id").isin([r[0] for r in some_pages]))
+        mine = flat.where(F.col("raw_opportunity_id").isin([r[0] for r in some_pages]))
         own = dict(mine.groupBy("raw_opportunity_id").agg(F.min("name")).collect())  # a row for each of the pages
-    texts = [r[1] for r in some(snippets, "snippet_id", "text", most)] + [(r[1], own.get(r[0])) for r in some_pages] + contacts("email") + contacts("phone")
-    values = lambda c: [r[1] for r in some(records, "id", c, most)]
-    return fit_finder(texts, contacts("name"), values("client_name") + values("location") + values("title"))
+    texts = [r[1] for r in some(snippets, "snippet_id", most, "text") if r[1]] + [(r[1], own.get(r[0])) for r in some_pages] + values(2, most) + values(3, most)
+    return fit_finder(texts, values(1, 4 * most), values(4, most) + values(5, most) + values(6, most))
+
+
+_OWN: list[tuple[object, Finder]] = []
+
+
+def own_finder(fitted: tuple) -> Finder:
+    """The finder of this worker for a fitted field, with what it remembers from earlier tasks."""
+    if not _OWN or _OWN[0][0] is not fitted:
+        _OWN[:] = [(fitted, Finder(*fitted))]
+    return _OWN[0][1]
 
 
 #: Texts labelled together: stretches of like length of all of them are summed at once.
@@ -706,7 +804,7 @@ def found_items(fields: list[tuple[str, DataFrame]], finder: Finder) -> DataFram
     schema = pa.schema([("field_name", pa.string()), ("record_id", pa.string()), ("text", pa.string()), ("items", pa.list_(item))])
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Finder(*shared.value)
+        own = own_finder(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(k, TOGETHER)

@@ -168,8 +168,8 @@ def test_first_names_held_out(texts):
     assert len(tested) > 50
     for text, items in zip(tested, finder.find(tested)):
         starts = {a for k, a, _ in items if k == "person_name"}
-        for m in personal._BLOCK.finditer(text):
-            toks = personal.tokens(m[0], m.start())
+        for at, stretch in personal.stretches(text):
+            toks = personal.tokens(stretch, at)
             for k, a, b in personal.spans(toks, personal.weak_spans(toks, set(out))):
                 if k == "person_name" and has.search(fold(text[a:b])):
                     whole += 1

@@ -158,14 +158,20 @@ def tokens(text: str, base: int = 0) -> list[Token]:
     mark = ""
     rich = "@" in text or "&" in text or "(" in text or "[" in text or "mailto:" in text or "tel:" in text
     for m in (_TOKEN if rich else _PLAIN).finditer(text):
-        kind, a, b = m.lastgroup, base + m.start(), base + m.end()
+        kind = m.lastgroup
+        if kind == "word" or kind == "sign":
+            a, b = m.span()
+            add((mark + m[0] if mark else m[0], base + a, base + b))
+            mark = ""
+            continue
         if kind == "tag":
             mark = BREAK
             continue
         if kind == "line":
             mark = mark or LINE
             continue
-        if kind == "word" or kind == "sign" or kind == "entity" or kind == "rest":
+        a, b = base + m.start(), base + m.end()
+        if kind == "entity" or kind == "rest":
             add((mark + m[0], a, b))
         elif kind == "email":
             add((mark + mail_type(m[0]), a, b))
@@ -405,11 +411,17 @@ class Finder:
             if mine:
                 edges += [((k, *x[:2]), (k, *y[:2]), sort) for x, y, sort in mine]
                 again += sorted({(k, e[0]) for x, y, _ in mine for e in (x, y)})
-        items = self._together(parts, again, edges)
+        anew: dict[int, dict[int, list]] = {}
+        for (k, n), found in self._together(parts, again, edges).items():
+            anew.setdefault(k, {})[n] = found
         out = []
         for k, own in enumerate(parts):
-            found = {(kind, at + a, at + z) for n, (b, at) in enumerate(own) for kind, a, z in (items.get((k, n), b.items) if items else b.items)}
-            out.append(sorted(found, key=lambda x: (x[1], x[0])))
+            other = anew.get(k)
+            if other:
+                items = {(kind, at + a, at + z) for n, (b, at) in enumerate(own) for kind, a, z in other.get(n, b.items)}
+            else:
+                items = {(kind, at + a, at + z) for b, at in own if b.items for kind, a, z in b.items}
+            out.append(sorted(items, key=lambda x: (x[1], x[0])))
         return out
 
     def _alone(self, new: list[Block]) -> None:
@@ -429,13 +441,14 @@ class Finder:
         kind, sure = by_kind.argmax(axis=1), by_kind.max(axis=1) >= self.sure
         maybe = (kind > 0) | ~sure
         open_ = np.logical_or.reduceat(maybe, first)
-        at = np.flatnonzero(open_)
-        if len(at):
-            labels = skipchain.best_labels(self.model, u[np.repeat(open_, lengths)], lengths[at]).tolist()
-            ends = np.cumsum(lengths[at])
-            for c, e in zip(at.tolist(), ends.tolist()):
-                b = new[c]
-                b.items = spans(self.toks(b), labels[e - lengths[c] + b.ahead : e])
+        # labels that are all sure are the best ones together
+        best = p.argmax(axis=1)
+        unsure = np.logical_or.reduceat(p.max(axis=1) < SURE, first)
+        if unsure.any():
+            best[np.repeat(unsure, lengths)] = skipchain.best_labels(self.model, u[np.repeat(unsure, lengths)], lengths[unsure])
+        for c in np.flatnonzero(open_).tolist():
+            b, f = new[c], int(first[c])
+            b.items = spans(self.toks(b), best[f + b.ahead : f + int(lengths[c])].tolist())
         chain = np.repeat(np.arange(len(new)), lengths)
         word = word_of[types]
         for i in np.flatnonzero(maybe & (word >= 0)).tolist():
@@ -451,29 +464,31 @@ class Finder:
         """
         hot: dict[int, dict[tuple[int, int], tuple[int, bool]]] = {}
         for n, (b, _) in enumerate(parts):
-            for word, i, kind, sure in b.hot:
-                hot.setdefault(word, {})[(n, i)] = (kind, sure)
+            if b.hot:
+                for word, i, kind, sure in b.hot:
+                    hot.setdefault(word, {})[(n, i)] = (kind, sure)
         if not hot:
             return []
-        _, word_of, _, _ = self.arrays()
-        own = [b.types[b.ahead :] for b, _ in parts]
-        lengths = np.array([len(x) for x in own])
-        words = word_of[np.concatenate(own)]
-        stretch = np.repeat(np.arange(len(own)), lengths)
-        place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        here = np.unique(words[words >= 0])
-        alike = self._near(list(hot), here)
+        # a stretch with its context; mentions in the context are left out
+        lengths = [len(b.types) for b, _ in parts]
+        words = self.arrays()[1][np.concatenate([b.types for b, _ in parts])]
+        at = np.flatnonzero(words >= 0)
+        words = words[at]
+        alike = self._near(list(hot), np.unique(words))
         wanted = set(hot).union(*alike.values())
         mentions: dict[int, list[tuple[int, int, int, bool]]] = {w: [] for w in wanted}
-        for i in np.flatnonzero(np.isin(words, list(wanted))).tolist():
-            w, n = int(words[i]), int(stretch[i])
-            at = (n, int(place[i]) + parts[n][0].ahead)
-            mentions[w].append((*at, *hot.get(w, {}).get(at, (0, True))))
+        ends = np.cumsum(lengths)
+        for i, w in zip(at.tolist(), words.tolist()):
+            if w in wanted:
+                n = int(np.searchsorted(ends, i, side="right"))
+                place = (n, i - int(ends[n]) + lengths[n])
+                if place[1] >= parts[n][0].ahead:
+                    mentions[w].append((*place, *hot.get(w, {}).get(place, (0, True))))
         edges: list[tuple[tuple, tuple, int]] = []
         for w in hot:
             mine = mentions[w]
             edges += [(x, y, 0) for x, y in zip(mine, mine[1:])]
-            edges += [(mine[0], mentions[o][0], 1) for o in alike[w] if o not in hot or w < o]
+            edges += [(mine[0], mentions[o][0], 1) for o in alike[w] if (o not in hot or w < o) and mentions[o]]
         return edges if any(x[2] != y[2] or not (x[3] and y[3]) for x, y, _ in edges) else []
 
     def _near(self, hot: list[int], here: np.ndarray) -> dict[int, list[int]]:

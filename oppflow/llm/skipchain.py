@@ -88,15 +88,17 @@ def marginals(u: np.ndarray, real: np.ndarray, step: np.ndarray, first: np.ndarr
 def buckets(lengths: np.ndarray, cells: int = 40_000) -> list[np.ndarray]:
     """Chains in groups of like length, so that padding stays small."""
     order = np.argsort(lengths, kind="stable")
-    out, group, width = [], [], 0
-    for c in order:
-        n = int(lengths[c])
-        if group and (n * (len(group) + 1) > cells or n > 1.25 * lengths[group[0]] + 4):
-            out.append(np.array(group))
-            group = []
-        group.append(c)
-    if group:
-        out.append(np.array(group))
+    sorted_ = lengths[order]
+    out, at = [], 0
+    while at < len(order):
+        least = int(sorted_[at])
+        longest = int(1.25 * least + 4)
+        end = int(np.searchsorted(sorted_, longest, side="right"))
+        # as many as fit in the cells at the length of the last of them
+        while end > at + 1 and int(sorted_[end - 1]) * (end - at) > cells:
+            end = at + max(1, min(end - at - 1, cells // max(1, int(sorted_[end - 1]))))
+        out.append(order[at:end])
+        at = end
     return out
 
 

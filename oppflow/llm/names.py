@@ -3,11 +3,11 @@
 Every distinct stored value is parsed to its words (folded, without articles,
 desks and departments). Links between such forms come from
 
-* typing errors: segment joins of the whole names and of their words (``segments``),
-  verified by a banded edit distance word by word;
+* typing errors: a segment join of the words of all names (``segments``), through
+  whose pairs the names are met, verified by a banded edit distance word by word;
 * other orders of the words: the sorted words are the form;
 * short forms: the words of a name with short words or a particle are matched with those of a
-  full name that shares its longest word up to one edit (again a segment join);
+  full name that shares its rarest long word up to one edit (the same segment join);
   a short word stands for one whose letters it keeps in order, and one word may
   be a nickname if the rest decides;
 * letters: a value that gives both ("Name (ABC)", "ABC - Name") defines them.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 from .components import components
-from .segments import segment_pairs
+from .segments import one_edit, typed_pairs
 from .spelling import banded_distance, fold, is_short_for, mend
 
 # Words that name nobody, articles, and what marks a desk of a client.
@@ -38,10 +38,12 @@ ARTICLES = {"de", "het", "een", "the"}
 DESK = {"afd", "afdeling", "inkoop", "inhuur", "inhuurdesk", "hr", "hrm", "hro", "tav", "t.a.v", "desk", "team", "inkoopteam", "inhuurteam", "nl", "bv", "b.v", "po", "ict", "it", "inkoopdesk", "servicedesk", "personeelszaken", "flexdesk", "secretariaat", "crediteurenadministratie"}
 SMALL = {"van", "der", "den", "en", "aan", "op", "ter", "ten", "te", "voor", "in", "bij", "of"}
 
-#: Typing errors in a name that are searched for; a swap of neighbours is two of them.
-K = 2
+#: Letters of a word from which one typing error may stand in it whatever it is; shorter ones have narrower rules.
+LONG = 5
 #: Share of a nickname's letters that the name has in the same order.
 NICK = 0.7
+#: Letters of a nickname at most, unless it begins as the name does: long words have letters in common by chance.
+LONGEST_NICK = 6
 
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ]{3})(?=[A-ZÀ-Þ][a-zà-ÿ]{2})|(?<=[a-zà-ÿ]{3})(?=(?:Oost|West|Noord|Zuid)-)")
 _DEFINED = re.compile(r"^\s*(?:(?P<long>.{6,}?)\s*\((?P<in>[A-Z]{2,8})\)|(?P<before>[A-Z]{2,8})\s*-\s*(?P<rest>.{6,}))\s*$")
@@ -141,7 +143,7 @@ def short_form_score(short: list[str], full: list[str]) -> float:
         return 0.0
     if names:  # a nickname for the one word that is left, if they share letters enough
         w, f = names[0], left[0]
-        if len(w) < 3 or is_short(f) or common_letters(w, f) < NICK * len(w):
+        if len(w) < 3 or is_short(f) or common_letters(w, f) < NICK * len(w) or len(w) > LONGEST_NICK and w[:2] != f[:2]:
             return 0.0
         score += 0.2
     return score
@@ -159,14 +161,19 @@ def name_forms(values: DataFrame) -> DataFrame:
     return values.select("value", parsed("value").alias("_p")).select("value", "_p.form", "_p.letters").where("form <> ''")
 
 
-def _typed_links(forms: DataFrame) -> DataFrame:
+def near_words(words: DataFrame) -> DataFrame:
+    """a, b of the words (column s) one edit apart, both ways, and each word with itself; written once."""
+    pairs = typed_pairs(words.where(F.length("s") >= LONG))
+    return cut(pairs.union(pairs.select("b", "a")).union(words.select(F.col("s").alias("a"), F.col("s").alias("b"))).toDF("a", "b"))
+
+
+def _typed_links(strings: DataFrame, near: DataFrame) -> DataFrame:
     @F.pandas_udf("boolean")
     def typed(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([same_but_typed(x, y) for x, y in zip(a, b)])
 
-    strings = forms.select(F.col("form").alias("s")).where(F.length("s") >= 8)
-    met = segment_pairs(strings, K).select("a", "b").union(_word_pairs(strings)).union(_same_letters(strings))
-    return met.distinct().where(typed("a", "b"))
+    met = _word_pairs(strings, near).union(_same_letters(strings))
+    return met.distinct().where(typed("a", "b")).union(_short_word_pairs(strings))
 
 
 def _same_letters(strings: DataFrame) -> DataFrame:
@@ -175,15 +182,13 @@ def _same_letters(strings: DataFrame) -> DataFrame:
     return keyed.withColumnRenamed("s", "a").join(keyed.withColumnRenamed("s", "b"), "letters").where("a < b").select("a", "b")
 
 
-def _word_pairs(strings: DataFrame) -> DataFrame:
-    """Pairs of forms of as many words that differ in one or two long words, by at most two edits (a swap is two) in each.
+def _word_pairs(strings: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of forms of as many words that differ in one or two long words, by one edit in each.
 
     The words of all forms are joined by segments; forms are met at their other words and the near ones.
-    So the pairs don't depend on the order of the words or on the edits of the whole form.
+    So the pairs depend neither on the order of the words nor on how many names share a word.
     """
-    words = strings.select(F.explode(F.array_distinct(F.split("s", " "))).alias("s")).where("length(s) >= 5").distinct()
-    near = segment_pairs(words, K).select("a", "b")
-    near = cut(near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(words.select(F.col("s").alias("a"), F.col("s").alias("b"))))
+    near = near.where(F.length("a") >= LONG)
     second = near.union(near.sparkSession.createDataFrame([("", "")], "a string, b string"))
 
     @F.pandas_udf("array<struct<rest:string,x:string,y:string>>")
@@ -192,14 +197,38 @@ def _word_pairs(strings: DataFrame) -> DataFrame:
 
     open_ = cut(strings.select(F.col("s").alias("form"), F.explode(without("s")).alias("w")).select("form", "w.*"))
     left = open_.join(near.select(F.col("a").alias("x"), F.col("b").alias("x2")), "x").join(second.select(F.col("a").alias("y"), F.col("b").alias("y2")), "y")
+    # two words differ, or the one: that neither does is in no need of a pair
+    left = left.where("x <> x2 and (y = '' or y <> y2)")
     left = left.select("rest", F.greatest("x2", "y2").alias("x"), F.least("x2", "y2").alias("y"), F.col("form").alias("a")).distinct()
     return left.join(open_.withColumnRenamed("form", "b"), ["rest", "x", "y"]).where("a < b").select("a", "b")
 
 
+def _short_word_pairs(strings: DataFrame) -> DataFrame:
+    """Pairs of forms that are equal but for one edit in one short word, their other words having LONG letters or more together.
+
+    Forms are met at their other words and what is left of the short one without a letter, which is exact. As short
+    words are often one edit apart and not the same, the first letter must agree and one of the two words must stand
+    in no other form, or the edit be a swap.
+    """
+    words = strings.select("s", F.split("s", " ").alias("w"))
+    each = words.select("s", "w", F.explode(F.array_distinct("w")).alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("forms"))
+    short = each.where(F.length("word").between(3, LONG - 1) & ~F.col("word").rlike(r"[\d.']"))
+    short = short.select("s", "word", F.array_join(F.array_remove("w", F.col("word")), " ").alias("rest")).where(F.length(F.regexp_replace("rest", " ", "")) >= LONG)
+    short = short.join(often, "word")
+    without = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.lit(LONG))))
+    keyed = short.select("s", "word", "rest", "forms", F.explode(F.array_distinct(F.concat(F.array("word"), without))).alias("key"))
+    a, b = (keyed.select("rest", "key", *(F.col(c).alias(f"{c}_{side}") for c in ("s", "word", "forms"))) for side in "ab")
+    met = a.join(b, ["rest", "key"]).where("s_a < s_b and word_a <> word_b").drop("key").distinct()
+    swap = (F.length("word_a") == F.length("word_b")) & (F.levenshtein("word_a", "word_b") == 2)
+    fits = swap | (F.least("forms_a", "forms_b") == 1) & (F.left("word_a", F.lit(1)) == F.left("word_b", F.lit(1)))
+    return met.where(one_edit(F.col("word_a"), F.col("word_b")) & fits).select(F.col("s_a").alias("a"), F.col("s_b").alias("b"))
+
+
 def _without(form: str) -> list[tuple[str, str, str]]:
     """Of each long word and each two of a form: the other words, the greater one and the other (empty if it is one)."""
     words = form.split()
-    long = [i for i, w in enumerate(words) if len(w) >= 5]
+    long = [i for i, w in enumerate(words) if len(w) >= LONG]
     out = {(" ".join(words[:i] + words[i + 1 :]), words[i], "") for i in long}
     for k, i in enumerate(long):
         for j in long[k + 1 :]:
@@ -208,12 +237,14 @@ def _without(form: str) -> list[tuple[str, str, str]]:
     return sorted(out)
 
 
-def _short_links(forms: DataFrame) -> DataFrame:
-    """Each form with short words and the full form that it fits best."""
-    words = F.split("form", " ")
-    size = lambda w: F.length(F.regexp_replace(w, r"[.'].*", ""))
-    longest = F.array_sort(words, lambda x, y: F.when(size(x) != size(y), size(y) - size(x)).when(x < y, -1).when(x > y, 1).otherwise(0))[0]
+def _short_links(forms: DataFrame, words: DataFrame, near: DataFrame) -> DataFrame:
+    """Each form with short words and the full form that it fits best.
 
+    Full forms are looked up by the rarest long word of the short one that is longer than a nickname; as a longer one
+    may still be a nickname, also by the next such word together with how the first one begins. A word is as rare as
+    the most frequent word within one edit, so that typing errors of a common word are common. Without such words
+    the rarest long word decides, or the longest one.
+    """
     @F.pandas_udf("boolean")
     def has_short(s: pd.Series) -> pd.Series:
         return pd.Series([" " in x and any(is_short(w) or w in SMALL for w in x.split()) for x in s])
@@ -222,13 +253,22 @@ def _short_links(forms: DataFrame) -> DataFrame:
     def fit(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([short_form_score(x.split(), y.split()) for x, y in zip(a, b)])
 
-    marked = cut(forms.select("form", "n", longest.alias("stem"), has_short("form").alias("short")))
-    probes = marked.where("short and length(stem) >= 4").select(F.col("form").alias("a"), "stem")
-    full = marked.select(F.col("form").alias("b"), F.col("n").alias("n_b"), F.explode(F.array_distinct(words)).alias("word")).where("length(word) >= 4")
-    stems = probes.select(F.col("stem").alias("s")).distinct()
-    near = segment_pairs(stems.where("length(s) >= 8"), K, full.select(F.col("word").alias("s")).where("length(s) >= 7").distinct()).select(F.col("a").alias("stem"), F.col("b").alias("word"))
-    near = near.union(stems.select(F.col("s").alias("stem"), F.col("s").alias("word"))).distinct()
-    scored = probes.join(near, "stem").join(full, "word").select("a", "b", "n_b").where("a <> b and length(b) > length(a)").distinct().withColumn("fit", fit("a", "b")).where("fit > 0")
+    often = words.groupBy("word").agg(F.count("*").alias("forms"))
+    rarity = near.join(often, near.b == often.word).groupBy("a").agg(F.max("forms").alias("common")).withColumnRenamed("a", "word")
+    short = cut(forms.select("form").where(has_short("form")))
+    plain = ~F.col("word").rlike("[.']")
+    own = words.join(short, "form", "left_semi").where(plain & (F.length("word") >= 3)).join(rarity, "word")
+    is_long = F.length("word") >= LONG
+    rank = F.struct((F.length("word") <= LONGEST_NICK).alias("nick"), F.col("common"), (-F.length("word")).alias("n"), "word")
+    ranked = own.groupBy("form").agg(F.array_sort(F.collect_list(F.when(is_long, rank))).alias("long"), F.min(F.struct((-F.length("word")).alias("n"), "word"))["word"].alias("longest"))
+    one = near.select(F.col("a").alias("stem"), F.col("b").alias("word"))
+    full = words.select(F.col("form").alias("b"), F.col("n").alias("n_b"), "word")
+    first = ranked.select(F.col("form").alias("a"), F.coalesce(F.get(F.col("long")["word"], F.lit(0)), "longest").alias("stem"))
+    next_ = ranked.where(F.size("long") >= 2).select(F.col("form").alias("a"), F.col("long")[1]["word"].alias("stem"), F.left(F.col("long")[0]["word"], F.lit(2)).alias("begins"))
+    begun = forms.select(F.col("form").alias("b"), F.explode(F.array_distinct(F.transform(F.split("form", " "), lambda w: F.left(w, F.lit(2))))).alias("begins"))
+    met = first.join(one, "stem").join(full, "word").select("a", "b", "n_b")
+    met = met.union(next_.join(one, "stem").join(full.join(begun, "b"), ["word", "begins"]).select("a", "b", "n_b"))
+    scored = met.where("a <> b and length(b) > length(a)").distinct().withColumn("fit", fit("a", "b")).where("fit > 0")
     best = scored.groupBy("a").agg(F.max(F.struct("fit", "n_b", "b")).alias("m"))
     return best.select("a", F.col("m.b").alias("b"))
 
@@ -244,7 +284,10 @@ def client_names(df: DataFrame, name: str = "client_name") -> DataFrame:
     forms = cut(parsed.groupBy("form").agg(F.sum("n").alias("n")))
     defined = parsed.where("letters is not null").select(F.col("letters").alias("a"), F.col("form").alias("b"))
     spelled = forms.select("form").join(defined.select(F.col("a").alias("form")).distinct(), "form", "left_semi").select(F.col("form").alias("a")).join(defined, "a")
-    edges = _typed_links(forms).union(_short_links(forms)).union(spelled).union(_defined_alike(defined))
+    words = forms.select("form", "n", F.explode(F.array_distinct(F.split("form", " "))).alias("word"))
+    near = near_words(words.select(F.col("word").alias("s")).distinct())
+    strings = forms.select(F.col("form").alias("s"))
+    edges = _typed_links(strings, near).union(_short_links(forms, words, near)).union(spelled).union(_defined_alike(defined))
     clients = components(forms.select(F.col("form").alias("node")), edges)
     return parsed.join(clients, parsed.form == clients.node).select("value", F.col("component").alias("client"))
 

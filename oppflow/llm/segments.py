@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def cuts(n: int, k: int) -> list[tuple[int, int]]:
@@ -62,3 +62,37 @@ def segment_pairs(strings: DataFrame, k: int, against: DataFrame | None = None)
     if against is None:
         met = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return met.distinct().withColumn("edits", F.levenshtein("a", "b", k)).where("edits >= 0")
+
+
+def typed_pairs(strings: DataFrame) -> DataFrame:
+    """a < b of the strings that are one edit apart, a swap of neighbours being one; strings of fewer than two letters are in no pair.
+
+    Two segments, of which one edit leaves one whole, moved by the difference of the lengths. A swap across the cut
+    touches both, so each string looks up itself with the letters at the cut swapped as well. strings: column s, distinct.
+    """
+    n, s = F.length("s"), F.col("s")
+
+    def key(size: Column, number: int, segment: Column) -> Column:
+        return F.concat_ws(":", size.cast("string"), F.lit(number).cast("string"), segment)
+
+    def part(start: Column | int, length: Column | int) -> Column:
+        return F.substring(s, start, length)
+
+    half, next_half = F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")
+    rest = F.lit(1 << 20)
+    own = [key(n, 0, part(F.lit(1), half)), key(n, 1, part(half + 1, rest))]
+    longer = [key(n + 1, 0, part(F.lit(1), next_half)), key(n + 1, 1, part(next_half, rest))]
+    swapped = [key(n, 0, F.concat(part(F.lit(1), half - 1), part(half + 1, F.lit(1)))), key(n, 1, F.concat(part(half, F.lit(1)), part(half + 2, rest)))]
+    fit = strings.where(n >= 2)
+    index = fit.select(s.alias("b"), F.explode(F.array(*own)).alias("key"))
+    probe = fit.select(s.alias("a"), F.explode(F.array(*own, *longer, *swapped)).alias("key"))
+    met = probe.join(index, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.where(one_edit(F.col("a"), F.col("b")))
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether two strings are one edit apart or equal, a swap of neighbours being one edit."""
+    near = F.levenshtein(a, b, 2)
+    turned = lambda i: F.concat(F.substring(b, F.lit(1), i - 1), F.substring(b, i + 1, F.lit(1)), F.substring(b, i, F.lit(1)), F.substring(b, i + 2, F.lit(1 << 20)))
+    swap = F.exists(F.sequence(F.lit(1), F.greatest(F.length(b) - 1, F.lit(1))), lambda i: turned(i) == a)
+    return F.when(near < 0, False).when(near <= 1, True).otherwise((F.length(a) == F.length(b)) & swap)

@@ -86,3 +86,52 @@ def test_two_words_typed_wrong(spark):
 def test_spelling_helpers():
     assert mend("RiÃ«l") == "Riël" and fold("DÉ\u200bJÀ") == "deja"
     assert is_short_for("gzd", "gezondheidsdienst") and not is_short_for("gzd", "zorg") and not is_short_for("weg", "weg")
+
+
+def test_typed_pairs_miss_nothing(spark):
+    r = random.Random(3)
+    strings = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 8))) for _ in range(400)})
+    got = {(x.a, x.b) for x in segments.typed_pairs(spark.createDataFrame([(s,) for s in strings], "s string")).collect()}
+    fit = [s for s in strings if len(s) > 1]
+    assert got == {(a, b) for a in fit for b in fit if a < b and osa(a, b) <= 1}
+    assert segments.typed_pairs(spark.createDataFrame([], "s string")).collect() == []
+
+
+def test_lost_links(spark):
+    """A first letter typed wrong, which moves the word, errors in two words, and short words."""
+    pairs = [
+        ("Waterschap Amstelland", "Waterschap Zmstelland"), ("Gemeente Autrecht", "Gemeente Utrecht"),
+        ("Hgoeschool Grotoveld", "Hogeschool Grootveld"), ("Waterschap Rijn", "Waterschap Rjin"), ("Gemeente Ede", "Gemeente Edr"),
+    ]
+    apart = ["Gemeente Epe", "Epe gemeente zuid", "Stichting Epe", "Stichting Ede", "Veiligheidsregio West-Gingfrurveld", "Veiligheidsregio West-Groongfroelsveld"]
+    df = spark.createDataFrame([(v,) for p in pairs for v in p] + [(v,) for v in apart], "client_name string")
+    assert {(r.name_a, r.name_b) for r in names.linked_pairs(df).collect()} == set(pairs)
+
+
+def test_typed_links_against_brute_force(spark):
+    r = random.Random(11)
+    heads = ["gemeente", "waterschap", "hogeschool", "veiligheidsregio", "ggd"]
+    word = lambda: "".join(r.choice(("ka", "lo", "mi", "ru", "ste", "wa", "el", "burg")) for _ in range(r.randint(2, 4)))
+
+    def typed(w):
+        i = r.randrange(len(w) - 1)
+        return r.choice((w[:i] + w[i + 1 :], w[:i] + r.choice("abz") + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "q" + w[i:]))
+
+    plain = [[r.choice(heads), word()] + ([word()] if r.random() < 0.3 else []) for _ in range(900)]
+    forms = {" ".join(sorted(p)) for p in plain} | {" ".join(sorted(typed(w) if r.random() < 0.6 else w for w in p)) for p in plain for _ in range(2)}
+    forms = sorted(forms)[:2000]
+    strings = spark.createDataFrame([(f,) for f in forms], "s string")
+    words = strings.selectExpr("explode(array_distinct(split(s, ' '))) s").distinct()
+    links = {(x.a, x.b) for x in names._typed_links(strings, names.near_words(words)).collect()}
+    short = {(x.a, x.b) for x in names._short_word_pairs(strings).collect()}
+    assert links - short == {(a, b) for i, a in enumerate(forms) for b in forms[i + 1 :] if names.same_but_typed(a, b)} - short
+
+
+def test_candidates_of_a_shared_word(spark):
+    """Fifty thousand names that share their first word meet only those that one edit makes alike."""
+    made = spark.range(50_000).selectExpr("concat('gemeente ', translate(substring(md5(cast(id as string)), 1, 9), '0123456789', 'ghijklmnop')) s").distinct()
+    words = made.selectExpr("explode(split(s, ' ')) s").distinct()
+    near = names.near_words(words)
+    assert names._word_pairs(made, near).count() < 1000
+    probes = segments.typed_pairs(words)
+    assert probes.count() < 1000

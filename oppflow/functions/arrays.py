@@ -26,6 +26,11 @@ def tied_at_top(scores: Column) -> Column:
     return F.size(F.filter(scores, lambda x: x["score"] == top))
 
 
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values, order and repeats apart; a null array equals only a null one."""
+    return F.array_sort(F.array_distinct(a)).eqNullSafe(F.array_sort(F.array_distinct(b)))
+
+
 def range_valid(start_year: Column, start_month: Column, end_year: Column, end_month: Column) -> Column:
     """Whether a range of partial dates isn't reversed; months count only if both are known."""
     return F.coalesce(

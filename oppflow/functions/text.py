@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 WHITE = r"(?U)[\s\x1c-\x1f]"
+# Fixed value: what counts as a phone number in a text.
+PHONE = r"\+?\d[\d\s()./\-]{5,}\d"
 #: Line ends as a text reader counts them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -73,7 +75,7 @@ def digits(c: Column) -> Column:
 
 def phone_supported(phone: Column, text: Column, least: int = 7) -> Column:
     """Whether the text holds a number of the same digits; false for fewer than ``least``."""
-    numbers = F.regexp_extract_all(text, F.lit(r"(\+?\d[\d\s()./\-]{5,}\d)"), F.lit(1))
+    numbers = F.regexp_extract_all(text, F.lit(PHONE), F.lit(0))
     return (F.length(digits(phone)) >= least) & F.exists(numbers, lambda x: digits(x) == digits(phone))
 
 
@@ -130,12 +132,6 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def merged_json(left: Column, right: Column) -> Column:
-    """Union of two flat JSON objects, the right one winning."""
-    kind = "map<string,string>"
-    return F.to_json(F.map_concat(F.coalesce(F.from_json(left, kind), F.from_json(F.lit("{}"), kind)), F.coalesce(F.from_json(right, kind), F.from_json(F.lit("{}"), kind))))
-
-
 # Python is needed for Unicode normal forms and for exact JSON; both are Arrow-batched.
 
 
@@ -160,6 +156,21 @@ def canonical_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def merged_json(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Union of two JSON objects, the right one winning by key; values of any kind stay as they are. What is no object counts as empty."""
+
+    def read(x: str | None) -> dict:
+        try:
+            value = json.loads(x) if isinstance(x, str) else None
+        except ValueError:
+            value = None
+        return value if isinstance(value, dict) else {}
+
+    for left, right in pairs:
+        yield pd.Series([json.dumps(read(a) | read(b), ensure_ascii=False, separators=(",", ":")) for a, b in zip(left, right)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def document_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility form; blanks collapsed and lines trimmed; at most one empty line in a row."""

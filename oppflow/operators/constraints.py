@@ -64,6 +64,11 @@ def set_null(child: DataFrame, column: str, parent: DataFrame, key: str) -> Data
     return child.join(known, child[column] == known["_key"], "left").withColumn(column, F.when(F.col("_there"), F.col(column))).drop("_key", "_there")
 
 
+def restricted(parent: DataFrame, key: str, child: DataFrame, column: str) -> DataFrame:
+    """Rows of parent that must not go, as rows of child refer to them."""
+    return parent.join(child.where(F.col(column).isNotNull()).select(F.col(column).alias(key)).distinct(), key, "left_semi")
+
+
 def owned_by(df: DataFrame, user: str, column: str = "user_id") -> DataFrame:
     """Row-level security: the rows of one user."""
     return df.where(F.col(column) == user)

@@ -53,6 +53,11 @@ def filtered(df: DataFrame, filters: Mapping[str, str | None], escape: bool = Fa
     return df
 
 
+def detail(df: DataFrame, value: object, key: str = "id") -> DataFrame:
+    """The rows of one key; the filter comes before anything else, so that it reaches the scan."""
+    return df.where(F.col(key) == F.lit(value))
+
+
 def in_feed_order(df: DataFrame, personal: bool, deadline: str = "application_deadline", key: str = "id") -> DataFrame:
     """By score (personal) and deadline, nulls of the score first and of the deadline last; the id makes the order unique."""
     first = [F.col("score").desc_nulls_first()] if personal else []
@@ -71,6 +76,10 @@ def has_more(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def nested(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, columns: Sequence[str], name: str) -> DataFrame:
-    """Parents with an ordered array of their children; parents without children have an empty one."""
-    inside = children.groupBy(F.col(child_key).alias(parent_key)).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    """Parents with an ordered array of their children; parents without children have an empty one.
+
+    An array grows with its parent's children: where a parent may have very many, join the tables instead. Children
+    without a parent key belong to none and are left out before the shuffle.
+    """
+    inside = children.where(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias(parent_key)).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
     return parents.join(inside, parent_key, "left").withColumn(name, F.coalesce(name, F.array().cast(inside.schema[name].dataType)))

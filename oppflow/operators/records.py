@@ -77,6 +77,26 @@ def with_model(df: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], sc
     return df.mapInPandas(run, schema)
 
 
+def leaves(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """key, path, value of every text inside the columns, whatever structs and arrays it is nested in; nulls have no row."""
+
+    def inside(kind: T.DataType, value: Column, path: Column) -> list[Column]:
+        entry = "array<struct<path:string,value:string>>"
+        if isinstance(kind, T.StructType):
+            return [x for f in kind.fields for x in inside(f.dataType, value.getField(f.name), F.concat(path, F.lit(f".{f.name}")))]
+        if isinstance(kind, T.ArrayType):
+            each = F.transform(value, lambda x, i: F.flatten(F.array(*(inside(kind.elementType, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))) or [F.array().cast(entry)]))))
+            return [F.coalesce(F.flatten(each), F.array().cast(entry))]
+        if isinstance(kind, T.StringType):
+            return [F.array(F.struct(path.alias("path"), value.alias("value"))).cast(entry)]
+        return []
+
+    found = [x for c in columns for x in inside(df.schema[c].dataType, F.col(c), F.lit(c))]
+    if not found:
+        return df.select(key, F.lit("").alias("path"), F.lit("").alias("value")).limit(0)
+    return df.select(key, F.explode(F.flatten(F.array(*found))).alias("_leaf")).select(key, "_leaf.path", "_leaf.value").where("value is not null")
+
+
 def flattened(df: DataFrame, column: str, keep: Sequence[str], domains: Mapping[str, tuple[Sequence[str], str]] | None = None) -> DataFrame:
     """keep and the fields of a struct column; of a field with a domain, values outside it become the other value."""
     kind = df.schema[column].dataType

@@ -80,12 +80,12 @@ def snapshot_changes(
         *(_held(F.upper(strip_white(F.col(k).cast("string")))).alias(a) for k, a in zip(others, by[1:])),
         *(_held(F.lower(strip_white(F.col(c).cast("string")))).alias(a) for c, a in zip(compared, values)),
         F.col(delivered).alias("_at"),
-    ).where("_s is not null")
+    ).where("_s is not null").repartition(*by)  # every step until the join keeps this partitioning
     following = consecutive_pairs(df, snapshot)
     last = plain.groupBy("_s", *by).agg(
         F.max(F.struct(F.coalesce(F.col("_at").cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).alias("at"), *values)).alias("_m")
     )
-    last = last.select("_s", *by, *(F.col(f"_m.{v}").alias(v) for v in values)).repartition(*by)
+    last = last.select("_s", *by, *(F.col(f"_m.{v}").alias(v) for v in values))
     follows = F.create_map(*[F.lit(x) for pair in following.items() for x in pair]) if following else F.lit(None).cast("map<bigint,bigint>")
     firsts = min(following, default=None)
     signed = last.select(

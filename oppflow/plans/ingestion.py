@@ -38,14 +38,21 @@ def changed_since_stored(spark, sf_dir):
     return raw.join(last, "id").where(~F.col("content_hash").eqNullSafe(F.col("stored"))).select("id", "version_number")
 
 
+def _last_two(df):
+    """The numbers of the last export and the one before it (None if there are fewer)."""
+    found = [r[0] for r in df.select("snapshot_no").where("snapshot_no is not null").distinct().orderBy(F.desc("snapshot_no")).limit(2).collect()]
+    return [*found, None, None][1], [*found, None][0]
+
+
 def merged_current(spark, sf_dir):
-    """Export 8 merged into export 7: the next current table."""
+    """The last export merged into the one before it: the next current table."""
     df = read_table(spark, sf_dir, "raw_opportunity_snapshots")
+    before, last = _last_two(df)
     columns = ["source_id", "source_reference", "title_hint", "content_hash", "source_status", "processing_status"]
     key = lambda d: d.withColumn("source_reference", F.upper(F.trim("source_reference")))
-    order = [F.col("delivered_at").desc(), F.col("content_hash").desc_nulls_last(), F.col("source_status").desc_nulls_last(), F.col("title_hint").desc_nulls_last(), F.col("processing_status").desc_nulls_last()]
-    part = lambda n: versions.latest(key(df.where(F.col("snapshot_no") == n)), ["source_id", "source_reference"], order)
-    merged = versions.merge_current(part(7).select(*columns), part(8), ["source_id", "source_reference"], "content_hash", "delivered_at", ["title_hint"], {"processing_status": "pending"})
+    order = ["delivered_at", "content_hash", "source_status", "title_hint", "processing_status"]
+    part = lambda n: versions.last_observed(key(df.where(F.col("snapshot_no") == F.lit(n)).select(*columns, "delivered_at")), ["source_id", "source_reference"], order)
+    merged = versions.merge_current(part(before).select(*columns), part(last), ["source_id", "source_reference"], "content_hash", "delivered_at", ["title_hint"], {"processing_status": "pending"})
     return merged.select(*columns, "action")
 
 
@@ -208,18 +215,21 @@ _TOLD = f"""{_V}, l as (select *, coalesce(normalized_content_hash, content_hash
     told as (select *, case when n = 1 then 'created' when f is not distinct from before then 'unchanged' else 'changed' end as action from l)"""
 _COUNTS = ", ".join(f"count(*) filter (where action = '{k}') as {k}" for k in ("created", "changed", "unchanged", "failed"))
 _LAST = lambda n: f"""(select source_id, upper(trim(source_reference)) as source_reference, title_hint, content_hash, source_status, processing_status from raw_opportunity_snapshots
-    where snapshot_no = {n} qualify row_number() over (partition by source_id, upper(trim(source_reference)) order by delivered_at desc, content_hash desc nulls last, source_status desc nulls last, title_hint desc nulls last, processing_status desc nulls last) = 1)"""
+    where snapshot_no = ({n}) qualify row_number() over (partition by source_id, upper(trim(source_reference)) order by delivered_at desc, content_hash desc nulls last, source_status desc nulls last, title_hint desc nulls last, processing_status desc nulls last) = 1)"""
+
+_NEWEST = "select max(snapshot_no) from raw_opportunity_snapshots"
+_BEFORE = f"select max(snapshot_no) from raw_opportunity_snapshots where snapshot_no < ({_NEWEST})"
 
 SQL = {
     "cdc_actions": f"with {_TOLD} select id, raw_opportunity_id, action, cast(sum(case when action <> 'unchanged' then 1 else 0 end) over (partition by raw_opportunity_id order by version_number, id) as integer) as version_no from told",
     "content_hashes": "select id, sha256(raw_content) as sha, sha256(raw_content) is not distinct from content_hash as as_stored from raw_opportunities",
     "changed_since_stored": f"with {_V}, last as (select * from v qualify row_number() over (partition by raw_opportunity_id order by version_number desc, id) = 1) select r.id, l.version_number from raw_opportunities r join last l on l.raw_opportunity_id = r.id where r.content_hash is distinct from l.content_hash",
-    "merged_current": f"""with o as {_LAST(7)}, i as {_LAST(8)} select coalesce(o.source_id, i.source_id) as source_id, coalesce(o.source_reference, i.source_reference) as source_reference,
+    "merged_current": f"""with o as {_LAST(_BEFORE)}, i as {_LAST(_NEWEST)} select coalesce(o.source_id, i.source_id) as source_id, coalesce(o.source_reference, i.source_reference) as source_reference,
         case when i.source_id is null then o.title_hint else coalesce(i.title_hint, o.title_hint) end as title_hint, case when i.source_id is null then o.content_hash else i.content_hash end as content_hash,
         case when i.source_id is null then o.source_status else i.source_status end as source_status,
         case when i.source_id is null then o.processing_status when o.source_id is null or o.content_hash is distinct from i.content_hash then 'pending' else o.processing_status end as processing_status,
         case when i.source_id is null then 'kept' when o.source_id is null then 'created' when o.content_hash is not distinct from i.content_hash then 'unchanged' else 'changed' end as action
-        from o full join i on o.source_id = i.source_id and o.source_reference = i.source_reference""",
+        from o full join i on o.source_id is not distinct from i.source_id and o.source_reference is not distinct from i.source_reference""",
     "upserted_cvs": "select id, user_id, case when processing_status <> 'ready' then 'ready' else processing_status end as processing_status from user_cvs",
     "sole_active_cv": "select id, user_id, row_number() over (partition by user_id order by is_active desc nulls last, uploaded_at desc nulls last, id) = 1 as is_active from user_cvs",
     "run_summary": """with s as (select source_id, count(*) as runs, coalesce(sum(items_new), 0) as new, coalesce(sum(items_changed), 0) as changed, coalesce(sum(items_unchanged), 0) as unchanged, coalesce(sum(items_failed), 0) as failed,
@@ -244,7 +254,7 @@ SQL = {
     "references_found": """with f as (select id, raw_content, regexp_extract_all(replace(raw_content, '\\/', '/'), '/o/([0-9]+)', 1) as a from raw_opportunities)
         select id, case when raw_content is not null then array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') end as refs from f""",
     "url_parts": "select id, nullif(regexp_extract(source_url, '^[a-z]+://([^/:?#]+)', 1), '') as host, case when source_url is not null then regexp_extract(source_url, '^[a-z]+://[^/?#]+([^?#]*)', 1) end as path from raw_opportunities",
-    "closed_notices": "select id, case when contains(replace(lower(raw_content), 'ß', 'ss'), 'is gesloten') or contains(lower(raw_content), 'niet meer mogelijk') or contains(lower(raw_content), 'niet meer beschikbaar') or contains(lower(raw_content), 'verlopen opdracht') then 'closed' else 'active' end as noticed from raw_opportunities",
+    "closed_notices": "select id, case when contains(replace(lower(raw_content), 'ß', 'ss'), 'is gesloten') or contains(replace(lower(raw_content), 'ß', 'ss'), 'niet meer mogelijk') or contains(replace(lower(raw_content), 'ß', 'ss'), 'niet meer beschikbaar') or contains(replace(lower(raw_content), 'ß', 'ss'), 'verlopen opdracht') then 'closed' else 'active' end as noticed from raw_opportunities",
     "dangling_references": """with d as (select 'run_of_raw' as reference, latest_fetch_run_id as missing_id from raw_opportunities where latest_fetch_run_id not in (select id from fetch_runs)
         union all select 'raw_of_version', raw_opportunity_id from raw_opportunity_versions where raw_opportunity_id not in (select id from raw_opportunities)
         union all select 'cv_of_snippet', user_cv_id from evidence_snippets where user_cv_id not in (select id from user_cvs)
@@ -270,23 +280,23 @@ def reservations(spark, sf_dir):
 
 
 def closed_missing(spark, sf_dir):
-    """Rows of export 7 that export 8 lacks, closed in sources whose count allows it."""
+    """Rows of the export before the last that the last one lacks, closed in sources whose count allows it."""
     df = read_table(spark, sf_dir, "raw_opportunity_snapshots").withColumn("source_reference", F.upper(F.trim("source_reference"))).withColumn("source_status", F.lower(F.trim("source_status")))
-    order = [F.col("delivered_at").desc(), F.col("source_status").desc_nulls_last()]
-    part = lambda n: versions.latest(df.where(F.col("snapshot_no") == n), ["source_id", "source_reference"], order).select("source_id", "source_reference", "source_status")
-    old, new = part(7), part(8)
+    kept = df.select("snapshot_no", "source_id", "source_reference", "source_status", "delivered_at")
+    part = lambda n: versions.last_observed(kept.where(F.col("snapshot_no") == F.lit(n)), ["source_id", "source_reference"], ["delivered_at", "source_status"]).select("source_id", "source_reference", "source_status")
+    old, new = map(part, _last_two(df))
     size = lambda d, c: d.groupBy("source_id").agg(F.count("*").alias(c))
     counts = size(old, "previous").join(size(new, "found"), "source_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
     return records.closed_missing(old, new, counts, ["source_id", "source_reference"], "source_id", least=5, ratio="0.70")
 
 
 QUERIES |= {"reservations": reservations, "closed_missing": closed_missing}
-_PART = lambda n: f"""(select source_id, upper(trim(source_reference)) as source_reference, lower(trim(source_status)) as source_status from raw_opportunity_snapshots where snapshot_no = {n}
+_PART = lambda n: f"""(select source_id, upper(trim(source_reference)) as source_reference, lower(trim(source_status)) as source_status from raw_opportunity_snapshots where snapshot_no = ({n})
     qualify row_number() over (partition by source_id, upper(trim(source_reference)) order by delivered_at desc, lower(trim(source_status)) desc nulls last) = 1)"""
 SQL |= {
     "reservations": """with l as (select extracted_from_hash as h, bool_or(id is not null) as done from structured_opportunities where extracted_from_hash is not null group by 1)
         select r.id, case when l.done then 'skip' when l.done is not null then 'reset' else 'new' end as reservation from raw_opportunities r left join l on l.h = coalesce(r.normalized_content_hash, r.content_hash)""",
-    "closed_missing": f"""with o as {_PART(7)}, n as {_PART(8)}, c as (select source_id, count(*) as previous, (select count(*) from n where n.source_id = o.source_id) as found from o group by source_id),
+    "closed_missing": f"""with o as {_PART(_BEFORE)}, n as {_PART(_NEWEST)}, c as (select source_id, count(*) as previous, (select count(*) from n where n.source_id = o.source_id) as found from o group by source_id),
         free as (select source_id from c where found >= greatest(5, ceil(previous * 0.70)))
         select o.source_id, o.source_reference, case when o.source_status = 'active' and n.source_id is null and o.source_id in (select source_id from free) then 'closed' else o.source_status end as source_status
         from o left join n on n.source_id = o.source_id and n.source_reference = o.source_reference""",

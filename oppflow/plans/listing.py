@@ -19,9 +19,10 @@ def records(spark, sf_dir):
     return versions.latest(read_table(spark, sf_dir, "structured_opportunities"), ["id"], [F.col("updated_at").desc()])
 
 
-def wide_scores(df):
+def wide_scores(df, as_columns=False):
     size = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
-    return df.select("id", *(F.pmod(size("title") * a + size("description") * b, F.lit(101)).cast("int").alias(k) for k, (a, b) in FACTORS.items()))
+    columns = [F.pmod(size("title") * a + size("description") * b, F.lit(101)).cast("int").alias(k) for k, (a, b) in FACTORS.items()]
+    return columns if as_columns else df.select("id", *columns)
 
 
 _RECORDS = "records as (select * from structured_opportunities qualify row_number() over (partition by id order by updated_at desc) = 1)"
@@ -37,6 +38,15 @@ def unpivot_scores(spark, sf_dir):
 
 
 def _matches(spark, sf_dir):
+    """Active records unpivoted to a row for each discipline whose score reaches the threshold: one scan, one shuffle."""
+    rows = records(spark, sf_dir).where("source_status = 'active'")
+    kept = ["id", "title", "client_name", "application_deadline"]
+    scored = rows.select(*kept, *wide_scores(rows, as_columns=True))
+    return feed.long_scores(scored, kept, {k: k for k in ORDER}).where(F.col("score") >= THRESHOLD)
+
+
+def _joined_matches(spark, sf_dir):
+    """The same from three tables."""
     rows = records(spark, sf_dir)
     classified = rows.select("id", F.lit(THRESHOLD).alias("relevance_threshold"))
     listed = rows.select("id", "title", "client_name", "province", "work_arrangement", "application_deadline", "source_status")
@@ -63,16 +73,17 @@ def feed_has_more(spark, sf_dir):
 
 
 def detail_lookup(spark, sf_dir):
-    rows = records(spark, sf_dir)
-    first = rows.agg(F.min("id").alias("id"))
-    return rows.join(first, "id", "left_semi").select("id", "title", "client_name", "location", "province", "education_level", F.size("requirements").alias("n_requirements"))
+    """One record by its id (the least one); the filter reaches the scan."""
+    stored = read_table(spark, sf_dir, "structured_opportunities")
+    rows = feed.detail(stored, stored.agg(F.min("id")).first()[0])
+    return versions.latest(rows, ["id"], [F.col("updated_at").desc()]).select("id", "title", "client_name", "location", "province", "education_level", F.size("requirements").alias("n_requirements"))
 
 
 def feed_of_each_user(spark, sf_dir):
     users = read_table(spark, sf_dir, "user_cvs").select("user_id").distinct()
     own = users.withColumn("discipline", F.get(F.array(*[F.lit(k) for k in ORDER]), F.pmod(F.conv(F.substring("user_id", 1, 2), 16, 10).cast("int"), F.lit(4)).cast("int")))
     # matches are counted before the join, which is then one row for each user
-    sizes = _matches(spark, sf_dir).groupBy("discipline").agg(F.count("*").alias("n_matches"), F.max("score").alias("best"))
+    sizes = _joined_matches(spark, sf_dir).groupBy("discipline").agg(F.count("*").alias("n_matches"), F.max("score").alias("best"))
     return own.join(sizes, "discipline", "left")
 
 

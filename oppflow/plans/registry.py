@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, ingestion, listing, snapshots
+from . import contracts, corpus, ingestion, listing, snapshots
 
-_PARTS = [listing, ingestion, corpus, snapshots]
+_PARTS = [listing, ingestion, corpus, contracts, snapshots]
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 SQL = {k: v for part in _PARTS for k, v in part.SQL.items()}

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from oppflow.operators import constraints as cs, evidence, feed, runs, versions
+from oppflow.functions import arrays, text
+from oppflow.operators import constraints as cs, evidence, feed, records, runs, versions
 from oppflow.streaming.versions import follow_changes
 
 
@@ -103,3 +104,51 @@ def test_stream(spark, tmp_path):
         follow_changes(spark, spark.readStream.schema(schema).parquet(landed), root, ["key"], "at", "hash").awaitTermination()
     got = {(r.key, r["at"]): (r.action, r.version_no) for r in spark.read.parquet(root + "/versions").collect()}
     assert got == {("a", 1): ("created", 1), ("a", 2): ("changed", 2), ("a", 3): ("unchanged", 2), ("b", 1): ("created", 1)}
+
+
+def test_null_keys(spark):
+    """A null key is a key like others wherever states are compared."""
+    old = spark.createDataFrame([(None, "t", "h"), ("1", "t", "h")], "key string, title string, hash string")
+    new = spark.createDataFrame([(None, "u", "h", 1), (None, "v", "h", 2), ("2", "t", "h", 1)], "key string, title string, hash string, at int")
+    got = {r.key: (r.title, r.action) for r in versions.merge_current(old, new, ["key"], "hash", "at").collect()}
+    assert got == {None: ("v", "unchanged"), "1": ("t", "kept"), "2": ("t", "created")}
+    stored = spark.createDataFrame([(None, "h", 3)], "key string, _fingerprint string, _version int")
+    told = {r["at"]: (r.action, r.version_no) for r in versions.observed_actions(new.where("key is null"), ["key"], [F.col("at")], F.col("hash"), stored).collect()}
+    assert told == {1: ("unchanged", 3), 2: ("unchanged", 3)}
+    changes = spark.createDataFrame([(None, "w")], "key string, title string")
+    assert {r.key: r.title for r in versions.updated(old, changes, ["key"]).collect()} == {None: "w", "1": "t"}
+    assert sorted((str(r.key), r.title) for r in versions.upsert(old.select("key", "title"), changes, ["key"]).collect()) == [("1", "t"), ("None", "w")]
+    assert [r.key for r in versions.without(old, changes, ["key"]).collect()] == ["1"]
+    kids = spark.createDataFrame([(None, 1), ("1", 2)], "p string, n int")
+    assert {r.key: len(r.kids) for r in feed.nested(old.select("key"), kids, "key", "p", ["n"], "kids").collect()} == {None: 0, "1": 1}
+
+
+def test_failed_and_backfilled(spark):
+    df = spark.createDataFrame([("1", "running", None), ("2", "running", "x")], "id string, status string, error string")
+    errors = spark.createDataFrame([("1", "e" * 5000)], "id string, error string")
+    got = {r.id: (r.status, len(r.error or "")) for r in versions.failed(df, errors, "id", "error").collect()}
+    assert got == {"1": ("failed", 4000), "2": ("running", 1)}
+    assert {r.id: r.error for r in versions.backfilled(df, {"error": "none"}).collect()} == {"1": "none", "2": "x"}
+
+
+def test_batches_over_ranges(spark):
+    """Numbers don't depend on how many tasks a group is split to."""
+    df = spark.range(1000).selectExpr("case when id % 10 = 0 then null else 'd' end day", "id")
+    got = runs.numbered_batches(df.repartition(7), ["day"], [F.col("id")], 25).collect()
+    for day in (None, "d"):
+        rows = sorted((r.id, r.batch_no) for r in got if r.day == day)
+        assert [b for _, b in rows] == [i // 25 + 1 for i in range(len(rows))]
+    assert len(got) == 1000 and runs.numbered_batches(df.limit(0), ["day"], [F.col("id")], 25).collect() == []
+
+
+def test_merged_json(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": {"c": [1.0]}}', '{"a": true}'), (None, '{"x": "é"}'), ("nope", None), ("[1]", "{}")], "l string, r string")
+    assert [r.m for r in df.select(text.merged_json("l", "r").alias("m")).collect()] == ['{"a":true,"b":{"c":[1.0]}}', '{"x":"é"}', "{}", "{}"]
+
+
+def test_leaves_and_sets(spark):
+    df = spark.createDataFrame([("1", (["a", None], "t"), [("x", ["y"])]), ("2", None, None)], "id string, s struct<l:array<string>,v:string>, a array<struct<p:string,q:array<string>>>")
+    got = sorted((r.id, r.path, r.value) for r in records.leaves(df, "id", ["s", "a"]).collect())
+    assert got == [("1", "a[0].p", "x"), ("1", "a[0].q[0]", "y"), ("1", "s.l[0]", "a"), ("1", "s.v", "t")]
+    sets = spark.createDataFrame([(["a", "b", "a"], ["b", "a"]), (["a"], None), (None, None), (["a"], ["b"])], "a array<string>, b array<string>")
+    assert [r.x for r in sets.select(arrays.same_set(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False, True, False]

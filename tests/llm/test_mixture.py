@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oppflow.llm import mixture
 
@@ -13,8 +14,22 @@ def test_quotas_are_exact():
 
 
 def test_bucket_bound():
-    assert mixture.buckets_for(10, 3) == 1024 and mixture.buckets_for(10**9, 10) == 100_000 and mixture.buckets_for(10**7, 10) == 10_000
-    assert mixture.buckets_for(0, 0) == 1024
+    assert mixture.buckets_for(10) == 1024 and mixture.buckets_for(10**8) == 100_000 and mixture.buckets_for(10**7) == 10_000
+    assert mixture.buckets_for(0) == 1024 and mixture.buckets_for(10**12) == 1_000_000
+
+
+def test_uses_meet_quotas(spark):
+    """Whole passes and part of one more, each use in one shard, for more targets than the driver would plan one by one."""
+    sources = [f"s{i:04}" for i in range(1200)]
+    blocks = spark.createDataFrame([(s, b, 10 + b) for s in sources for b in range(4)], "source string, block long, tokens long")
+    quotas = spark.createDataFrame([(s, 46, 3, 46 * (i % 3) + (i % 40)) for i, s in enumerate(sources)], "source string, size long, max_repeats int, quota long")
+    uses = mixture.block_uses(blocks, quotas, 7)
+    got = {r.source: r.t for r in uses.join(blocks, ["source", "block"]).groupBy("source").agg(F.sum(F.coalesce("left", "tokens")).alias("t")).collect()}
+    assert got == {s: 46 * (i % 3) + i % 40 for i, s in enumerate(sources) if 46 * (i % 3) + i % 40}
+    placed = mixture.shards_of_uses(uses, 5, 7).join(uses, ["source", "use_no"], "full_outer").collect()
+    assert len(placed) == uses.count() and all(r.shard is not None and r.block is not None for r in placed)
+    sizes = [sum(r.shard == k for r in placed) for k in range(5)]
+    assert max(sizes) - min(sizes) <= 1
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +58,10 @@ def test_empty(spark, docs):
     assert mixture.mix(docs.limit(0), targets).collect() == []
     none = mixture.mix(docs, targets.limit(0))
     assert none.collect() == [] and mixture.mixture_shares(none, targets.limit(0)).collect() == []
+
+
+def test_bounds(spark, data):
+    from oppflow.llm.queries import QUERIES
+
+    rows = QUERIES["p7_bounds"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 11 and all(r.within_cap and r.reached for r in rows)

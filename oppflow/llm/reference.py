@@ -2,11 +2,15 @@
 
 Distinct values are folded and cut to words. Each distinct word is joined to the
 words of the list by edit distance: words within one edit share a string that is
-left when one letter is deleted, so an equality join on those finds all of them.
-The repaired words lead to the entries whose longest word was met; each is ranked
-by soft TF-IDF, the sum over its words of weight times similarity. An entry
-stands only if all its words are met (a short form counts), and one that covers
-more weight of the value beats those it contains.
+left when one letter is deleted, and a word that lost two letters is what is left
+when two are deleted from a long one, so an equality join on those finds all of
+them. An entry is looked up by each of its weightiest words without which it
+can't be met (``LOOKED_UP``) and by its longest one, none of them by a short form; each is ranked by soft
+TF-IDF, the sum over its words of weight times similarity. An entry whose words
+are all met (a short form counts) comes before any that is met in part; of those
+one that covers more weight of the value beats those it contains. Where no entry
+is met whole, the one that is met for the greatest share of its weight stands, if
+this is ``PARTLY`` or more and the value has no other word.
 """
 
 from __future__ import annotations
@@ -21,8 +25,13 @@ from .spelling import banded_distance, fold, is_short_for
 
 #: Words of fewer letters must be equal.
 LEAST_TYPED = 4
-#: Similarity of a word one edit away, and of a short form.
+#: Similarity of a word one edit away, and of a short form or a word that lost two letters.
 TYPED, SHORT = 0.9, 0.8
+#: Letters of a word from which it may have lost two of them.
+LEAST_LOST = 7
+#: Share of its weight for which an entry must be met; it is looked up by the weightiest words that make up more than the rest of it.
+PARTLY = 0.75
+LOOKED_UP = 1 - PARTLY
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -39,6 +48,27 @@ def _deleted(s: str) -> list[str]:
     return [s] + [s[:i] + s[i + 1 :] for i in range(len(s))] if len(s) >= LEAST_TYPED else [s]
 
 
+def _lost(word: str) -> list[str]:
+    """What is left of a long word without two letters, the first one kept."""
+    if len(word) < LEAST_LOST:
+        return []
+    return [word[:i] + word[i + 1 : j] + word[j + 1 :] for i in range(1, len(word)) for j in range(i + 1, len(word))]
+
+
+def has_lost(typed: str, word: str) -> bool:
+    """Whether typed is word without two letters, the first one kept."""
+    return len(word) >= LEAST_LOST and len(typed) == len(word) - 2 and is_short_for(typed, word)
+
+
+def _alike(typed: str, word: str) -> float:
+    """How alike a typed word and one of the list are, 0 if too little."""
+    if typed == word:
+        return 1.0
+    if min(len(typed), len(word)) >= LEAST_TYPED and banded_distance(typed, word, 1) <= 1:
+        return TYPED
+    return SHORT if has_lost(typed, word) else 0.0
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _tokens(s: pd.Series) -> pd.Series:
     return pd.Series([sorted(set(tokens(x))) for x in s], dtype=object)
@@ -49,13 +79,21 @@ def _deletions(s: pd.Series) -> pd.Series:
     return pd.Series([sorted(set(_deleted(x))) for x in s], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _listed(s: pd.Series) -> pd.Series:
+    return pd.Series([sorted({*_deleted(x), *_lost(x)}) for x in s], dtype=object)
+
+
 @F.pandas_udf(T.DoubleType())
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([1.0 if x == y else TYPED if min(len(x), len(y)) >= LEAST_TYPED and banded_distance(x, y, 1) <= 1 else 0.0 for x, y in zip(a, b)])
+    return pd.Series([_alike(x, y) for x, y in zip(a, b)])
 
 
-def match_entry(value: list[str], entry: list[str], weights: dict[str, float], known: set[str]) -> tuple[float, float]:
-    """Soft TF-IDF of the entry in the words of a value, and the weight of known words of the value that it leaves over; (0, 0) if a word of it isn't met."""
+def match_entry(value: list[str], entry: list[str], weights: dict[str, float], known: set[str]) -> tuple[float, float, float]:
+    """Soft TF-IDF of the entry in the words of a value, the weight of known words of the value that it leaves over, and the share of its weight that is met.
+
+    (0, 0, 0) if too little of it is met, or not all and the value has other words.
+    """
     left, score = list(value), 0.0
     missing = []
     for w in sorted(entry, key=lambda w: -len(w)):
@@ -63,19 +101,32 @@ def match_entry(value: list[str], entry: list[str], weights: dict[str, float], k
             left.remove(w)
             score += weights[w]
             continue
-        near = [v for v in left if min(len(v), len(w)) >= LEAST_TYPED and v not in known and banded_distance(v, w, 1) <= 1]
-        if near:
-            left.remove(near[0])
-            score += TYPED * weights[w]
+        near = max(((_alike(v, w), v) for v in left if v not in known), default=(0.0, ""))
+        if near[0]:
+            left.remove(near[1])
+            score += near[0] * weights[w]
         else:
             missing.append(w)
+    lost = 0.0
+    initials = sorted(w[0] for w in missing)
+    together = [v for v in left if len(v) > 1 and v not in known and sorted(v) == initials]
+    if together:  # one word of the first letters of all that is missing
+        left.remove(together[0])
+        score += sum(SHORT * weights[w] for w in missing)
+        missing = []
     for w in missing:
-        short = [v for v in left if len(v) <= 3 and v not in known and is_short_for(v, w)]
-        if not short:
-            return 0.0, 0.0
-        left.remove(short[0])
-        score += SHORT * weights[w]
-    return score, sum(weights[v] for v in left if v in known)
+        # letters left out of a short form, or of a word of which most is there
+        short = [v for v in left if v not in known and (len(v) <= 3 or len(v) >= 0.6 * len(w)) and is_short_for(v, w)]
+        if short:
+            left.remove(short[0])
+            score += SHORT * weights[w]
+        else:
+            lost += weights[w]
+    whole = sum(weights[w] for w in entry)
+    met = 1 - lost / whole
+    if lost and (met < PARTLY or any(len(v) > 1 for v in left)):
+        return 0.0, 0.0, 0.0
+    return score, sum(weights[v] for v in left if v in known), met
 
 
 def entry_names(entries: DataFrame, ref_id: str, names: list[Column]) -> DataFrame:
@@ -103,26 +154,29 @@ def rank_entries(values: DataFrame, names: DataFrame) -> DataFrame:
     vocabulary = vocabulary.withColumn("weight", F.log(F.lit(1.0) + F.lit(float(max(total, 1))) / F.col("df")))
     typed = worded.select(F.explode("value_words").alias("typed")).distinct()
     at = lambda c: F.explode(_deletions(c)).alias("key")
-    met = typed.select("typed", at("typed")).join(vocabulary.select("word", at("word")), "key").select("typed", "word").distinct()
+    met = typed.select("typed", at("typed")).join(vocabulary.select("word", F.explode(_listed("word")).alias("key")), "key").select("typed", "word").distinct()
     repaired = met.withColumn("similarity", _similarity("typed", "word")).where("similarity > 0").select("typed", "word")
-    # a name is looked up by its longest word, which nobody abbreviates
+    # a name is looked up by its longest word, which nobody abbreviates, and by the weightiest ones that make up more than LOOKED_UP of it
     weighed = names.select("ref_id", "words", F.explode("words").alias("word")).join(vocabulary, "word")
-    lead = weighed.groupBy("ref_id", "words").agg(
-        F.max(F.struct(F.length("word").alias("n"), "weight", "word")).alias("m"), F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights")
+    whole = weighed.groupBy("ref_id", "words").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("minus"), "word"))).alias("ws"), F.max(F.struct(F.length("word").alias("n"), "weight", "word"))["word"].alias("longest"))
+    total_weight = F.aggregate("ws", F.lit(0.0), lambda acc, x: acc - x["minus"])
+    ahead = lambda i: F.aggregate(F.slice("ws", F.lit(1), i), F.lit(0.0), lambda acc, x: acc - x["minus"])
+    leading = F.filter("ws", lambda x, i: (i == 0) | (ahead(i) <= LOOKED_UP * total_weight))
+    lead = whole.select(
+        "ref_id", "words", F.map_from_entries(F.transform("ws", lambda x: F.struct(x["word"].alias("word"), (-x["minus"]).alias("weight")))).alias("weights"),
+        F.explode(F.array_distinct(F.concat(F.transform(leading, lambda x: x["word"]), F.array("longest")))).alias("word"),
     )
-    lead = lead.select("ref_id", "words", "weights", F.col("m.word").alias("word"))
     spoken = worded.select("value", "value_words", F.explode("value_words").alias("typed"))
     candidates = spoken.join(repaired, "typed").join(lead, "word").dropDuplicates(["value", "ref_id", "words"]).select("value", "value_words", "ref_id", "words", "weights")
     own = spoken.join(vocabulary, spoken.typed == vocabulary.word).groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("own"))
 
-    @F.pandas_udf("score double, over double, matched array<string>")
+    @F.pandas_udf("score double, over double, met double, matched array<string>")
     def scored(value: pd.Series, entry: pd.Series, weights: pd.Series, own: pd.Series) -> pd.DataFrame:
         out = []
         for v, e, w, o in zip(value, entry, weights, own):
             o = dict(o) if o is not None else {}
-            score, over = match_entry(list(v), list(e), {**o, **dict(w)}, set(o))
-            out.append((score, over, sorted(e)))
-        return pd.DataFrame(out, columns=["score", "over", "matched"])
+            out.append((*match_entry(list(v), list(e), {**o, **dict(w)}, set(o)), sorted(e)))
+        return pd.DataFrame(out, columns=["score", "over", "met", "matched"])
 
     ranked = (
         candidates.join(own, "value", "left")
@@ -133,13 +187,22 @@ def rank_entries(values: DataFrame, names: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def best(options: pd.Series) -> pd.Series:
-        return pd.Series([_best([(float(x["score"]), float(x["over"]), int(x["ref_id"]), tuple(x["matched"])) for x in o]) for o in options], dtype=object)
+        return pd.Series([_best_of([(float(x["score"]), float(x["over"]), int(x["ref_id"]), tuple(x["matched"]), float(x["met"])) for x in o]) for o in options], dtype=object)
 
-    # the options of a value: entries of the list whose longest word it has
-    grouped = ranked.groupBy("value").agg(F.collect_list(F.struct("score", "over", "ref_id", "matched")).alias("o"))
+    # the options of a value: entries of the list of which it has a leading word
+    grouped = ranked.groupBy("value").agg(F.collect_list(F.struct("score", "over", "ref_id", "matched", "met")).alias("o"))
     return grouped.select("value", best("o").alias("ref_ids"))
 
 
+def _best_of(options: list[tuple[float, float, int, tuple[str, ...], float]]) -> list[int]:
+    """Ids of the best names: among those that are met whole, else those that are met for the greatest share."""
+    whole = [x[:4] for x in options if x[4] > 1 - 1e-9]
+    if whole:
+        return _best(whole)
+    most = max(x[4] for x in options)
+    return sorted({x[2] for x in options if most - x[4] < 1e-9})
+
+
 def _best(options: list[tuple[float, float, int, tuple[str, ...]]]) -> list[int]:
     """Ids of the best names. Of names inside other met names only the larger counts; separate names leave the value unsettled."""
     options = sorted(options, key=lambda x: (-x[0], x[1], x[2]))

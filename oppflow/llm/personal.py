@@ -160,8 +160,8 @@ def tokens(text: str, base: int = 0) -> list[Token]:
     for m in (_TOKEN if rich else _PLAIN).finditer(text):
         kind = m.lastgroup
         if kind == "word" or kind == "sign":
-            a, b = m.span()
-            add((mark + m[0] if mark else m[0], base + a, base + b))
+            word, a = m[0], base + m.start()
+            add((mark + word if mark else word, a, a + len(word)))
             mark = ""
             continue
         if kind == "tag":
@@ -386,7 +386,8 @@ class Finder:
             parts.append(own)
             context: tuple[int, ...] = ()
             for at, stretch in stretches(text or ""):
-                block = known.get((context, stretch))
+                key = context, stretch
+                block = known.get(key)
                 if block is None:
                     got = cut.get(stretch)
                     if got is None:
@@ -400,7 +401,7 @@ class Finder:
                     if mine:
                         new.append(block)
                     if len(stretch) <= 400:
-                        known[(context, stretch)] = block
+                        known[key] = block
                 if block.starts:
                     own.append((block, at))
                 context = block.after

@@ -56,8 +56,8 @@ class Field:
         return self.weights[:, ids].sum(axis=1) if ids else np.zeros((self.weights.shape[0], self.weights.shape[2]), dtype=self.weights.dtype)
 
 
-def marginals(u: np.ndarray, real: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """Probability of each label at each token, log normaliser of all chains together, expected transitions.
+def marginals(u: np.ndarray, real: np.ndarray, step: np.ndarray, first: np.ndarray, steps: bool = True) -> tuple[np.ndarray, float, np.ndarray]:
+    """Probability of each label at each token, log normaliser of all chains together, expected transitions (if steps).
 
     Sums are kept in proportion at every step, so they are products of matrices instead of sums of exponentials.
     """
@@ -68,18 +68,28 @@ def marginals(u: np.ndarray, real: np.ndarray, step: np.ndarray, first: np.ndarr
     fore[:, 0] = e[:, 0] * np.exp(np.clip(first, -30, 30))
     scale[:, 0] = fore[:, 0].sum(axis=1)
     fore[:, 0] /= scale[:, 0, None]
+    every = real.all(axis=0).tolist()  # positions that no chain ends before
     for t in range(1, n):
         new = (fore[:, t - 1] @ a) * e[:, t]
         c = np.maximum(new.sum(axis=1), 1e-30)
-        go = real[:, t]
-        scale[:, t] = np.where(go, c, 1)
-        fore[:, t] = np.where(go[:, None], new / c[:, None], fore[:, t - 1])
+        if every[t]:
+            scale[:, t] = c
+            np.divide(new, c[:, None], out=fore[:, t])
+        else:
+            go = real[:, t]
+            scale[:, t] = np.where(go, c, 1)
+            fore[:, t] = np.where(go[:, None], new / c[:, None], fore[:, t - 1])
     pairs = np.zeros((width, width))
     for t in range(n - 2, -1, -1):
-        go = real[:, t + 1, None]
         from_next = e[:, t + 1] * back[:, t + 1] / scale[:, t + 1, None]
-        back[:, t] = np.where(go, from_next @ a.T, 1)
-        pairs += fore[:, t].T @ np.where(go, from_next, 0)
+        if not every[t + 1]:
+            go = real[:, t + 1, None]
+            from_next = np.where(go, from_next, 0)
+            back[:, t] = np.where(go, from_next @ a.T, 1)
+        else:
+            np.matmul(from_next, a.T, out=back[:, t])
+        if steps:
+            pairs += fore[:, t].T @ from_next
     p = fore * back
     p /= np.maximum(p.sum(axis=2, keepdims=True), 1e-30)
     return p, float(np.log(scale[real]).sum(dtype=np.float64) + top[real].sum(dtype=np.float64)), pairs * a
@@ -120,7 +130,7 @@ def chain_marginals(field: Field, u: np.ndarray, lengths: np.ndarray) -> np.ndar
     out = np.zeros_like(u)
     for g in buckets(lengths):
         at, real = _cells(starts[g], lengths[g])
-        out[at[real]] = marginals(u[at], real, field.step, field.first)[0][real]
+        out[at[real]] = marginals(u[at], real, field.step, field.first, False)[0][real]
     return out
 
 
@@ -147,7 +157,7 @@ def passed(field: Field, u: np.ndarray, lengths: np.ndarray, edges: np.ndarray,
         total = summed()
         for g in groups:
             at, real = _cells(starts[g], lengths[g])
-            belief[at[real]] = np.log(marginals(total[at], real, field.step, field.first)[0][real] + 1e-12)
+            belief[at[real]] = np.log(marginals(total[at], real, field.step, field.first, False)[0][real] + 1e-12)
         sent = [belief[edges[:, 1 - side]] - messages[1 - side] for side in (0, 1)]
         for side in (0, 1):
             got = log_sum(sent[side][:, :, None] + agree, 1)

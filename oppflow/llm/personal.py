@@ -345,6 +345,7 @@ class Finder:
     shapes: list[tuple[int, int, bool]] = data_field(default_factory=list)  # of each word: length, letters, whether it is double
     known: dict[tuple, Block] = data_field(default_factory=dict)
     cut: dict[str, tuple] = data_field(default_factory=dict)  # of a stretch: tokens, types, context of the next one
+    blank: set[str] = data_field(default_factory=set)  # stretches without tokens
     near: dict[tuple[int, int], bool] = data_field(default_factory=dict)
     _arrays: tuple | None = None
 
@@ -375,17 +376,19 @@ class Finder:
 
     def find(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """Of each text its items: kind, start, end (code points)."""
-        if len(self.types) > 300_000 or len(self.known) > REMEMBERED or len(self.near) > 2_000_000:
+        if len(self.types) > 300_000 or len(self.known) + len(self.blank) > REMEMBERED or len(self.near) > 2_000_000:
             self.types, self.names, self.scores, self.word_of, self.words, self.shapes = {}, [], [], [], {}, []
-            self.known, self.cut, self.near, self._arrays = {}, {}, {}, None
+            self.known, self.cut, self.blank, self.near, self._arrays = {}, {}, set(), {}, None
         parts: list[list[tuple[Block, int]]] = []  # of each text its stretches and where they begin
         new: list[Block] = []
-        known, cut, ids = self.known, self.cut, self.types
+        known, cut, blank, ids = self.known, self.cut, self.blank, self.types
         for text in texts:
             own: list[tuple[Block, int]] = []
             parts.append(own)
             context: tuple[int, ...] = ()
             for at, stretch in stretches(text or ""):
+                if stretch in blank:
+                    continue
                 key = context, stretch
                 block = known.get(key)
                 if block is None:
@@ -397,13 +400,14 @@ class Finder:
                         if len(stretch) <= 400:
                             cut[stretch] = got
                     starts, ends, mine, after = got
-                    block = Block(starts, ends, [*context, *mine], len(context), after or context)
-                    if mine:
-                        new.append(block)
+                    if not mine:  # mark-up alone
+                        blank.add(stretch)
+                        continue
+                    block = Block(starts, ends, [*context, *mine], len(context), after)
+                    new.append(block)
                     if len(stretch) <= 400:
                         known[key] = block
-                if block.starts:
-                    own.append((block, at))
+                own.append((block, at))
                 context = block.after
         self._alone(new)
         edges, again = [], []
@@ -809,8 +813,8 @@ def own_finder(fitted: tuple) -> Finder:
 TOGETHER = 400
 
 
-def found_items(fields: list[tuple[str, DataFrame]], finder: Finder) -> DataFrame:
-    """field_name, record_id, text, items (array of kind, start, end). fields: name and a frame of record_id, text."""
+def found_items(fields: list[tuple[str, DataFrame]], finder: Finder, with_text: bool = True) -> DataFrame:
+    """field_name, record_id, text (null unless with_text), items (array of kind, start, end). fields: name and a frame of record_id, text."""
     rows = None
     for name, df in fields:
         part = df.where("text is not null and text <> ''").distinct().select(F.lit(name).alias("field_name"), "record_id", "text")
@@ -826,7 +830,8 @@ def found_items(fields: list[tuple[str, DataFrame]], finder: Finder) -> DataFram
                 part = batch.slice(k, TOGETHER)
                 items = own.find(part.column(2).to_pylist())
                 values = pa.array([[{"kind": a, "start": b, "end": c} for a, b, c in x] for x in items], pa.list_(item))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), values], schema=schema)
+                text = part.column(2) if with_text else pa.nulls(part.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text, values], schema=schema)
 
     return rows.mapInArrow(labelled, "field_name string, record_id string, text string, items array<struct<kind:string,start:int,end:int>>")
 

@@ -27,7 +27,7 @@ def p3_found(spark, sf_dir):
     return reference.located(rows, places, provinces)
 
 
-def personal_items(spark, sf_dir):
+def personal_items(spark, sf_dir, with_text=True):
     snippets, pages, records = (read_table(spark, sf_dir, t) for t in ("evidence_snippets", "raw_opportunities", "structured_opportunities"))
     finder = personal.training_finder(snippets, pages, records)
     contact = lambda k: records.select(F.col("id").alias("record_id"), F.col(f"contact_information.{k}").alias("text"))
@@ -39,11 +39,12 @@ def personal_items(spark, sf_dir):
             ("structured_opportunities.contact_information.phone", contact("phone")),
         ],
         finder,
+        with_text,
     )
 
 
 def p4_found(spark, sf_dir):
-    items = personal_items(spark, sf_dir).select("field_name", "record_id", F.explode("items").alias("i"))
+    items = personal_items(spark, sf_dir, with_text=False).select("field_name", "record_id", F.explode("items").alias("i"))
     return items.select("field_name", "record_id", F.col("i.kind").alias("pii_type"), F.col("i.start").alias("start_pos"))
 
 

@@ -176,8 +176,9 @@ def training_sample(pages: DataFrame, records: DataFrame, most: int = TRAIN_PAGE
     picked = [r[0] for r in records.select(record_key).where(f"{record_key} is not null and description is not null").distinct().orderBy(F.xxhash64(record_key)).limit(most).collect()]
     columns = [record_key, "title", "client_name", "location", "source_reference", "description", "requirements", "wishes", "competencies", "contact_information"]
     marks = {r[record_key]: record_marks(r.asDict(recursive=True)) for r in records.where(F.col(record_key).isin(picked)).select(*columns).collect()} if picked else {}
-    rows = pages.where(F.col(key).isin(picked)).where(F.col(content).isNotNull()).select(key, content, kind).collect() if picked else []
-    rows = sorted((r for r in rows if r[0] in marks), key=lambda r: r[0])
+    # one row of each of the picked ids
+    one = pages.where(F.col(key).isin(picked)).where(F.col(content).isNotNull()).groupBy(key).agg(F.min(F.struct(content, kind)).alias("p")).select(key, "p.*")
+    rows = sorted((r for r in one.collect() if r[0] in marks), key=lambda r: r[0]) if picked else []
     return fit_pages([(r[1], r[2]) for r in rows], [marks[r[0]] for r in rows])
 
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import SparkContext, SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Fixed value: the public pattern that splits a text before merging.
@@ -131,20 +132,32 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def shipped(path: str | None = None) -> str:
+    """The name under which the workers find the rank file, which the driver sends them (a few MB)."""
+    path = path or tokenizer_path()
+    context = SparkContext._active_spark_context
+    if context is None:
+        return path
+    name = os.path.basename(path)
+    if not any(os.path.basename(f) == name for f in context.listFiles):
+        context.addFile(path)
+    return name
+
+
+def encoder(name: str) -> Encoder:
     """One for each Python worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if name not in _encoders:
+        _encoders[name] = Encoder(name if os.path.isabs(name) else SparkFiles.get(name))
+    return _encoders[name]
 
 
 def encode_ids(text: Column, path: str | None = None) -> Column:
     """Array of ids; null and empty texts both have the empty array."""
-    path = path or tokenizer_path()
+    name = shipped(path)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(path).encode
+        encode = encoder(name).encode
         for texts in batches:
             yield pd.Series([encode(t) for t in texts], dtype=object)
 
@@ -153,11 +166,11 @@ def encode_ids(text: Column, path: str | None = None) -> Column:
 
 def count_ids(text: Column, path: str | None = None) -> Column:
     """Number of ids of a text; 0 for null and empty texts."""
-    path = path or tokenizer_path()
+    name = shipped(path)
 
     @F.pandas_udf("long")
     def n(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(path).encode
+        encode = encoder(name).encode
         for texts in batches:
             yield pd.Series([len(encode(t)) for t in texts], dtype="int64")
 

@@ -280,7 +280,14 @@ def node_features(pages: Pages, leaf_text: LeafText, attr_scores: dict[str, floa
 
 
 def decode(pages: Pages, element_score: np.ndarray, leaf_score: np.ndarray) -> np.ndarray:
-    """Whether each leaf is main text: the best labelling in which a node is main only inside a main element.
+    """Whether each leaf is main text, by ``labelling``."""
+    stays = labelling(pages, element_score, leaf_score)
+    of = np.array(pages.of, dtype=np.int64)
+    return stays[of] & (leaf_score > 0) if len(of) else np.zeros(0, dtype=bool)
+
+
+def labelling(pages: Pages, element_score: np.ndarray, leaf_score: np.ndarray) -> np.ndarray:
+    """Whether each element is main: the best labelling in which a node is main only inside a main element.
 
     Bottom up, a node is worth its score and what its children are worth, or nothing if that is negative; top
     down, a node stays if it is worth something and its parent stays. A page's root stays.
@@ -302,4 +309,4 @@ def decode(pages: Pages, element_score: np.ndarray, leaf_score: np.ndarray) -> n
     for level in reversed(levels):
         up = parent[level]
         stays[level] = np.where(up < 0, True, stays[np.maximum(up, 0)] & (worth[level] > 0))
-    return stays[of] & (leaf_score > 0) if len(of) else np.zeros(0, dtype=bool)
+    return stays

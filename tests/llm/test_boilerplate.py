@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from oppflow.llm import boilerplate, boosting
-from oppflow.llm.dom import LeafText, Pages, decode
+from oppflow.llm.dom import LeafText, Pages, decode, labelling
 from oppflow.sources.tables import read_table
 
 
@@ -43,17 +43,11 @@ def test_decoding_is_the_best_consistent_labelling():
     pages.add("<body><div><p>a</p><p>b</p></div><nav><ul><li>c</li><li>d</li></ul></nav></body>", "html")
     for _ in range(60):
         e, leaf = rng.normal(size=len(pages.tag)), rng.normal(size=len(pages.text))
-        kept = decode(pages, e, leaf)
-        inside = set()
-        for i in np.flatnonzero(kept):
-            k = pages.of[i]
-            while k >= 0:
-                inside.add(k)
-                k = pages.parent[k]
-        # elements that are worth something without kept leaves may stay as well: the kept leaves never exceed the optimum
-        got = sum(leaf[i] for i in np.flatnonzero(kept))
-        assert got <= best(pages, np.zeros(len(e)), leaf) + 1e-9
-        assert all(leaf[i] > 0 for i in np.flatnonzero(kept))
+        stays, kept = labelling(pages, e, leaf), decode(pages, e, leaf)
+        assert all(stays[i] <= (pages.parent[i] < 0 or stays[pages.parent[i]]) for i in range(len(e)))
+        assert kept.tolist() == [bool(stays[o] and s > 0) for o, s in zip(pages.of, leaf)]
+        got = e[stays].sum() + leaf[kept].sum()
+        assert abs(got - best(pages, e, leaf)) < 1e-9
 
 
 @pytest.fixture(scope="module")
@@ -83,6 +77,30 @@ def test_held_out_accuracy(spark, tables):
     assert right > 500 and wrong < 0.02 * right
 
 
+def test_held_out_sites(tables):
+    """Fitted to the pages of half of the sites, right on those of the other half."""
+    records = tables["structured_opportunities"].dropDuplicates(["raw_opportunity_id"]).collect()
+    pages = {r.id: (r.raw_content, r.raw_format, r.source_id) for r in tables["raw_opportunities"].where("raw_content is not null").collect()}
+    rows = sorted((r for r in records if r.raw_opportunity_id in pages and r.description), key=lambda r: r.raw_opportunity_id)
+    sites = sorted({pages[r.raw_opportunity_id][2] for r in rows})
+    half = set(sites[::2])
+    seen = [r for r in rows if pages[r.raw_opportunity_id][2] in half]
+    other = [r for r in rows if pages[r.raw_opportunity_id][2] not in half]
+    marks = lambda r: boilerplate.record_marks(r.asDict(recursive=True))
+    model = boilerplate.fit_pages([pages[r.raw_opportunity_id][:2] for r in seen], [marks(r) for r in seen])
+    right = wrong = 0
+    for r in other:
+        one = Pages()
+        one.add(*pages[r.raw_opportunity_id][:2])
+        y = boilerplate.weak_labels(one, 0, marks(r))
+        if y is not None:
+            got = set(boilerplate.main_lines(one, model, LeafText(model.words, model.lines))[0])
+            want = {one.line[i] for i in np.flatnonzero(y)}
+            right += len(got & want)
+            wrong += len(got ^ want)
+    assert len(sites) > 10 and right > 500 and wrong < 0.05 * right, (right, wrong)
+
+
 def test_edges(spark, tables):
     raw, records = tables["raw_opportunities"], tables["structured_opportunities"]
     none = boilerplate.training_sample(raw.limit(0), records.limit(0))

@@ -7,6 +7,7 @@ executors; the text of a DOCX comes from its XML by the standard library.
 from __future__ import annotations
 
 import io
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -58,6 +59,10 @@ def _blocks(root: ElementTree.Element) -> Iterator[str]:
                 yield " | ".join(cells.values())
 
 
+# Parts that every DOCX has.
+REQUIRED = ("[Content_Types].xml", "word/document.xml")
+
+
 def docx_text(content: bytes) -> str:
     """Headers and footers, then paragraphs and table rows in order; cells of a row joined, equal ones once."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -96,6 +101,39 @@ def file_text(content: Column, mime: Column) -> Column:
     return read(content, mime)
 
 
+def file_issue(name: Column, content: Column, mime: Column) -> Column:
+    """Why a file is not taken in, null if it is: no_name, empty, too_large, unknown_type, not_pdf, not_docx.
+
+    The name is read in its compatibility form and must have a printable character; a PDF begins as one, a DOCX is a
+    ZIP that has the parts that every one has.
+    """
+
+    @F.pandas_udf("string")
+    def check(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for names, contents, kinds in batches:
+            yield pd.Series([_issue(n, c, k) for n, c, k in zip(names, contents, kinds)], dtype=object)
+
+    return check(name, content, mime)
+
+
+def _issue(name: str | None, content: bytes | None, kind: str | None) -> str | None:
+    if not any(c.isprintable() and not c.isspace() for c in unicodedata.normalize("NFKC", name or "")):
+        return "no_name"
+    if not content:
+        return "empty"
+    if len(content) > MOST_BYTES:
+        return "too_large"
+    if kind == PDF:
+        return None if content.startswith(b"%PDF-") else "not_pdf"
+    if kind == DOCX:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                return None if set(REQUIRED) <= set(z.namelist()) else "not_docx"
+        except zipfile.BadZipFile:
+            return "not_docx"
+    return "unknown_type"
+
+
 def safe_file_name(name: Column) -> Column:
     """The last part of a path without control characters, at most 255 code points; null if nothing is left."""
     last = F.regexp_replace(name, r"^.*[/\\]", "")

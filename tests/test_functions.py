@@ -129,3 +129,21 @@ def test_partial_dates(spark):
     rows = [(2020, 5, 2020, 4), (2020, 5, 2020, None), (2021, 1, 2020, 12), (None, None, 2020, 1)]
     df = spark.createDataFrame(rows, "a int, b int, c int, d int")
     assert [r.x for r in df.select(arrays.range_valid(*map(F.col, "abcd")).alias("x")).collect()] == [False, True, False, True]
+
+
+def test_file_issues(spark):
+    def zipped(*parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for p in parts:
+                z.writestr(p, "x")
+        return out.getvalue()
+
+    good = zipped("[Content_Types].xml", "word/document.xml")
+    rows = [
+        ("a.pdf", b"%PDF-1.7", documents.PDF), ("a.docx", good, documents.DOCX), (" \u200b", b"%PDF-", documents.PDF), (None, b"x", "x"), ("a", b"", documents.PDF), ("a", None, None),
+        ("a", b"x", documents.PDF), ("a", zipped("word/document.xml"), documents.DOCX), ("a", b"x", documents.DOCX), ("a", b"x", "text/plain"), ("a", b"x" * (documents.MOST_BYTES + 1), documents.PDF),
+    ]
+    df = spark.createDataFrame(rows, "n string, c binary, m string")
+    got = [r.i for r in df.select(documents.file_issue(F.col("n"), F.col("c"), F.col("m")).alias("i")).collect()]
+    assert got == [None, None, "no_name", "no_name", "empty", "empty", "not_pdf", "not_docx", "not_docx", "unknown_type", "too_large"]

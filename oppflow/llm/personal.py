@@ -47,6 +47,8 @@ OFTEN = 12
 WITH_ITEMS, WITHOUT = 4000, 7000
 #: Probability from which a label is sure by its chain alone; a sentence of which no token's is below is not searched for another labelling.
 SURE = 0.999
+#: Tokens of the name of a field at most.
+FIELD_NAME = 3
 #: Letters of words that skip edges join: equal words, and words one edit apart.
 LINKED, LINKED_TYPED = 3, 5
 #: Stretches that a worker remembers, if they are short, before it forgets them all (about 100 MB).
@@ -109,7 +111,9 @@ def stretches(text: str) -> Iterator[tuple[int, str]]:
 
 
 def context_of(types: list) -> int:
-    """How many of the last types of a stretch the next one has as context: the last one, and what stands before a colon."""
+    """How many of the last types of a stretch the next one has as context: of a short one, which may be the name of a field, the last, and what stands before a colon."""
+    if len(types) > FIELD_NAME:
+        return 0
     return 2 if len(types) > 1 and types[-1] == ":" else 1
 
 
@@ -396,7 +400,7 @@ class Finder:
                     if got is None:
                         toks = tokens(stretch)
                         mine = [ids[t[0]] if t[0] in ids else self.type_id(t[0]) for t in toks]
-                        got = array("i", [t[1] for t in toks]), array("i", [t[2] for t in toks]), mine, tuple(mine[-context_of([t[0] for t in toks]) :])
+                        got = array("i", [t[1] for t in toks]), array("i", [t[2] for t in toks]), mine, tuple(mine[len(mine) - context_of([t[0] for t in toks]) :])
                         if len(stretch) <= 400:
                             cut[stretch] = got
                     starts, ends, mine, after = got
@@ -442,7 +446,7 @@ class Finder:
         u = skipchain.flat_unary(scores, types, lengths)
         p = skipchain.chain_marginals(self.model, u, lengths)
         kinds = self.model.kind_of
-        by_kind = np.stack([p[:, kinds == k].sum(axis=1) for k in range(kinds.max() + 1)], axis=1)
+        by_kind = p @ (kinds[:, None] == np.arange(kinds.max() + 1)).astype(p.dtype)
         kind, sure = by_kind.argmax(axis=1), by_kind.max(axis=1) >= self.sure
         maybe = (kind > 0) | ~sure
         open_ = np.logical_or.reduceat(maybe, first)
@@ -733,8 +737,8 @@ def fit_finder(texts: list[str | tuple[str, str | None]], contact_names: list[st
             toks = tokens(stretch)
             mine, labels = [t[0] for t in toks], weak_spans(toks, names, own)
             types, y = context[0] + mine, context[1] + labels
-            n = context_of(mine)
-            context = (mine[-n:], labels[-n:]) if mine else context
+            n = len(mine) - context_of(mine)
+            context = (mine[n:], labels[n:]) if mine else context
             for t in types:
                 often[t] = often.get(t, 0) + 1
             if not _doubtful(types, y):

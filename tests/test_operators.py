@@ -152,3 +152,22 @@ def test_leaves_and_sets(spark):
     assert got == [("1", "a[0].p", "x"), ("1", "a[0].q[0]", "y"), ("1", "s.l[0]", "a"), ("1", "s.v", "t")]
     sets = spark.createDataFrame([(["a", "b", "a"], ["b", "a"]), (["a"], None), (None, None), (["a"], ["b"])], "a array<string>, b array<string>")
     assert [r.x for r in sets.select(arrays.same_set(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False, True, False]
+
+
+def test_stream_state(spark, tmp_path):
+    """Steps and bases give the states of a single batch; a batch that runs twice and gaps in the numbers change nothing."""
+    from oppflow.streaming.versions import apply_batch, numbers_in, state_before
+
+    root, schema = str(tmp_path / "out"), "key string, at int, hash string"
+    rows = [(f"k{i % 5}" if i % 7 else None, i, f"h{i // 4}") for i in range(40)]
+    numbers = [0, 1, 2, 3, 5, 6, 7, 9]
+    for n, batch in enumerate(numbers):
+        part = spark.createDataFrame(rows[n * 5 : n * 5 + 5], schema)
+        for _ in range(2 if batch in (3, 5) else 1):
+            apply_batch(part, batch, root, ["key"], "at", "hash", steps=2)
+    whole = versions.observed_actions(spark.createDataFrame(rows, schema), ["key"], [F.col("at"), F.col("hash")], F.col("hash"))
+    want = sorted((str(r.key), r["at"], r.action, r.version_no) for r in whole.collect())
+    assert sorted((str(r.key), r["at"], r.action, r.version_no) for r in spark.read.parquet(root + "/versions").collect()) == want
+    last = {str(r.key): r.version_no for r in state_before(spark, root, 10, ["key"]).collect()}
+    assert last == {k: max(v for q, _, _, v in want if q == k) for k in {w[0] for w in want}}
+    assert min(numbers_in(spark, root + "/state/steps")) >= 7 and state_before(spark, root, 0, ["key"]) is None

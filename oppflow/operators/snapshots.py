@@ -86,15 +86,16 @@ def snapshot_changes(
         F.max(F.struct(F.coalesce(F.col("_at").cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).alias("at"), *values)).alias("_m")
     )
     last = last.select("_s", *by, *(F.col(f"_m.{v}").alias(v) for v in values))
-    follows = F.create_map(*[F.lit(x) for pair in following.items() for x in pair]) if following else F.lit(None).cast("map<bigint,bigint>")
-    firsts = min(following, default=None)
-    signed = last.select(
+    later = set(following.values())
+    numbers = df.sparkSession.createDataFrame([(n, m, n in later) for n, m in sorted({**{m: None for m in later}, **following}.items())], "_s long, _next long, _later boolean")
+    placed = last.join(F.broadcast(numbers), "_s")  # MAX_SNAPSHOTS rows at most
+    signed = placed.select(
         *by,
         *values,
         F.explode(
             F.array(
-                F.struct(F.when(F.col("_s") > F.lit(firsts), F.col("_s")).alias("pair"), F.lit(1).alias("sign")),
-                F.struct(F.try_element_at(follows, F.col("_s")).alias("pair"), F.lit(-1).alias("sign")),
+                F.struct(F.when(F.col("_later"), F.col("_s")).alias("pair"), F.lit(1).alias("sign")),
+                F.struct(F.col("_next").alias("pair"), F.lit(-1).alias("sign")),
             )
         ).alias("_p"),
     ).select("_p.pair", "_p.sign", *by, *values).where("pair is not null")

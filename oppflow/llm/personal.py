@@ -45,8 +45,8 @@ ALIKE, ALIKE_WITHOUT = 24, 120
 OFTEN = 12
 #: Chains with items that the field is fitted to, and chains without, at most.
 WITH_ITEMS, WITHOUT = 4000, 7000
-#: Probability from which a label is sure by its chain alone; a sentence of which no token's is below is not searched for another labelling.
-SURE = 0.999
+#: Probability from which the kind of a label is sure by its chain alone.
+SURE = 0.99
 #: Tokens of the name of a field at most.
 FIELD_NAME = 3
 #: Letters of words that skip edges join: equal words, and words one edit apart.
@@ -450,9 +450,9 @@ class Finder:
         kind, sure = by_kind.argmax(axis=1), by_kind.max(axis=1) >= self.sure
         maybe = (kind > 0) | ~sure
         open_ = np.logical_or.reduceat(maybe, first)
-        # labels that are all sure are the best ones together
+        # if the likeliest labels of a chain are right together with more than even odds, they are its best labels
         best = p.argmax(axis=1)
-        unsure = np.logical_or.reduceat(p.max(axis=1) < SURE, first)
+        unsure = np.add.reduceat(1 - p.max(axis=1), first) >= 0.49
         if unsure.any():
             best[np.repeat(unsure, lengths)] = skipchain.best_labels(self.model, u[np.repeat(unsure, lengths)], lengths[unsure])
         for c in np.flatnonzero(open_).tolist():
